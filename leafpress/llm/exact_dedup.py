@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from leafpress.llm.common import small, without_spaces, written
 
-#: A group of copies may hold a third of all rows: joins by a group's key deal it out to this many parts.
-SALTS = 32
 ROW = "__row"
 
 
@@ -18,12 +16,12 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def _semi(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """rows that have a key: broadcast if the keys are few, else a join salted by row, so that no key meets in one task."""
+    """rows that have a key: broadcast if the keys are few; else a sort-merge join ended by a write, so that Spark can
+    split the partition of a hot key (a group of copies may hold a third of all rows) and counts after it combine first."""
     keys = written(keys, "exact-keys")
     if (few := small(keys)) is not keys:
         return rows.join(few, on, "left_semi")
-    spread = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", (F.col(ROW) % SALTS).cast("int")).join(spread, [*on, "__salt"], "left_semi").drop("__salt")
+    return written(rows.join(keys, on, "left_semi"), "exact-level")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, all_digests: bool = False) -> DataFrame:
@@ -55,11 +53,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pre
     groups = survivors.groupBy("len", "prefix", "digest").agg(F.count(F.lit(1)).alias("size"), best.alias("best")).filter(F.col("size") > 1)
     groups = written(groups.select("len", "prefix", "digest", "size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")), "exact-groups")
     on = ["len", "prefix", "digest"]
-    if (few := small(groups)) is not groups:
-        joined = sketch.join(few, on, "left")
-    else:
-        spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sketch.withColumn("__salt", (F.col(ROW) % SALTS).cast("int")).join(spread, [*on, "__salt"], "left")
+    joined = sketch.join(small(groups), on, "left")
     kept = F.coalesce(F.col(ROW) == F.col("keep_row"), F.lit(True))
     return joined.select(ROW, "id", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "digest")
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import exact_dedup, mixing
+from leafpress.llm import exact_dedup, mixing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = exact_dedup.tagged(table(spark, sf_dir, "documents"))
     out = exact_dedup.classes(docs, all_digests=True)
@@ -53,5 +58,5 @@ SELECT doc_id, size, source_size, target,
        size * (epochs + CASE WHEN cum + size / 2.0 <= rest THEN 1 ELSE 0 END) AS taken FROM c
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_mix_sources": op3_mix_sources}
+QUERIES = {"op1_simhash": op1_simhash, "op2_exact_dedup": op2_exact_dedup, "op3_mix_sources": op3_mix_sources}
 SQL = {"op2_exact_dedup": OP2_SQL, "op3_mix_sources": OP3_SQL}
