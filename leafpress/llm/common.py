@@ -64,3 +64,27 @@ def word_count(text: Column) -> Column:
 def crc_mod(ids: Column, m: int) -> Column:
     """crc32 of the id as decimal text, modulo m."""
     return F.crc32(ids.cast("string").cast("binary")) % m
+
+
+class TwoGenerations:
+    """A bounded cache of computed values: when the young half is full it becomes the old one, so what is still used stays."""
+
+    def __init__(self, compute, most: int = 250_000):
+        self.compute, self.most, self.young, self.old = compute, most, {}, {}
+
+    def many(self, keys: list) -> list:
+        """The values of keys; compute takes the list of distinct keys that are in neither generation."""
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        young = self.young
+        found = list(map(young.get, keys))
+        if None in found:
+            missing = []
+            for k in {k for k, v in zip(keys, found, strict=True) if v is None}:
+                if (v := self.old.get(k)) is None:
+                    missing.append(k)
+                else:
+                    young[k] = v
+            young.update(zip(missing, self.compute(missing), strict=True))
+            found = list(map(young.__getitem__, keys))
+        return found
