@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import byte_bpe, exact_dedup, mixing, pii, simhash, vectors
+from leafpress.llm import byte_bpe, exact_dedup, mixing, pii, quality, simhash, token_files, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,13 @@ SELECT doc_id, size, source_size, target,
        size * (epochs + CASE WHEN cum + size / 2.0 <= rest THEN 1 ELSE 0 END) AS taken FROM c
 """
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), only=lambda i: ~quality.held_out(i))
+    out = quality.score(docs, model)
+    return out.select(F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     out = vectors.search(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
@@ -76,6 +83,11 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents"))
     of = lambda kind: F.filter("spans", lambda x: x.kind == kind)
@@ -90,5 +102,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_mix_sources, op5_nearest, op8_pii, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_mix_sources, op4_quality, op5_nearest, op7_token_files, op8_pii, op10_byte_bpe)}
 SQL = {"op2_exact_dedup": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_nearest": OP5_SQL}
