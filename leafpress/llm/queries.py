@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import byte_bpe, exact_dedup, mixing, pii, quality, simhash, token_files, vectors
+from leafpress.llm import byte_bpe, exact_dedup, lm, mixing, pii, quality, simhash, token_files, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,10 +97,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), lm.learns).withColumnRenamed("id", "doc_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True)
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_mix_sources, op4_quality, op5_nearest, op7_token_files, op8_pii, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_mix_sources, op4_quality, op5_nearest, op7_token_files, op8_pii, op9_ctw, op10_byte_bpe)}
 SQL = {"op2_exact_dedup": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_nearest": OP5_SQL}
