@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import byte_bpe, exact_dedup, lm, mixing, pii, quality, simhash, token_files, vectors
+from leafpress.llm import byte_bpe, exact_dedup, lm, mixing, pii, quality, simhash, substrings, token_files, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate(table(spark, sf_dir, "documents"), digests=True)
+    return out.withColumnsRenamed({"id": "doc_id", "kept": "kept_sha256"})
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
     return out.withColumnRenamed("id", "doc_id")
@@ -106,5 +111,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_mix_sources, op4_quality, op5_nearest, op7_token_files, op8_pii, op9_ctw, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_mix_sources, op4_quality, op5_nearest, op6_substrings, op7_token_files, op8_pii, op9_ctw, op10_byte_bpe)}
 SQL = {"op2_exact_dedup": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_nearest": OP5_SQL}
