@@ -45,38 +45,63 @@ def text_weight(text: Column, words: Column) -> Column:
     return F.when(words > 0, 1.0 / (1.0 + F.abs(F.length(text) / words - 6.0))).otherwise(F.lit(1.0))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: str) -> DataFrame:
+    """docs with a tag for each row (the same in every scan), its id, source, size, sampling key and the key's step."""
+    text = F.col(text_col)
+    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__id": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(text)})
+    rows = rows.withColumn("__weight", (text_weight(text, F.col("__size")) if weight is None else weight).cast("double"))
+    rows = rows.withColumn("__key", sampling_key(F.col("__id"), F.col("__weight"), seed))
+    return rows.withColumn("__step", F.floor((1.0 - F.exp(-F.col("__key"))) * STEPS).cast("int")).drop("__weight")
+
+
+def _plan(base: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """For each source its target, epochs and the step in which its budget ends; and for the rows of those steps, whether they are taken once more.
+
+    A source may hold a third of all rows: its keys are cut into STEPS steps, whose sums (map-side combined) say in
+    which step the budget ends; only that step's rows are sorted. Steps before it are taken, steps after it are not.
+    """
+    sums = written(base.groupBy("__source", "__step").agg(F.sum("__size").alias("words")), "mix-steps")
+    aims = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), cap)
+    aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    aims = written(aims.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
+    run = F.sum("words").over(W.partitionBy("__source").orderBy("__step").rowsBetween(W.unboundedPreceding, 0))
+    ends = sums.withColumn("upto", run).join(aims.select("source", "rest"), F.col("__source").eqNullSafe(F.col("source"))).filter((F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("upto") > F.col("rest")))
+    ends = ends.select(F.col("__source").alias("s"), F.col("__step").alias("end_step"), (F.col("upto") - F.col("words")).alias("before"))
+    aims = written(aims.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnsRenamed({c: f"__aim_{c}" for c in ("source", "source_size", "target", "epochs", "rest", "end_step", "before")}), "mix-ends")
+    order = W.partitionBy("__source").orderBy("__key", F.col("__id").isNull(), "__id", "__size", "__row").rowsBetween(W.unboundedPreceding, -1)
+    last = base.join(small(aims), F.col("__source").eqNullSafe(F.col("__aim_source"))).filter(F.col("__step") == F.col("__aim_end_step"))
+    cum = F.col("__aim_before") + F.coalesce(F.sum("__size").over(order), F.lit(0))
+    last = last.select(F.col("__row").alias("__last"), (cum + F.col("__size") / 2 <= F.col("__aim_rest")).cast("long").alias("__more"))
+    return aims, written(last, "mix-last")
+
+
+def _decided(rows: DataFrame, aims: DataFrame, last: DataFrame) -> DataFrame:
+    """rows with their source's aims and __copies. The aims (a row for each source) and the rows in end steps are broadcast if few."""
+    rows = rows.join(small(aims), F.col("__source").eqNullSafe(F.col("__aim_source"))).join(small(last), F.col("__row") == F.col("__last"), "left")
+    # a source without an end step has a rest of 0, or no words at all
+    more = F.when(F.col("__step") == F.col("__aim_end_step"), F.coalesce("__more", F.lit(0))).when(F.col("__step") < F.col("__aim_end_step"), F.lit(1)).otherwise(F.lit(0))
+    return rows.withColumn("__copies", F.col("__aim_epochs") + F.when(F.col("__size") > 0, more).otherwise(F.lit(0)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, cap: int = 3, seed: str = "mix") -> DataFrame:
     """One row for each row of docs: id, source, size, source_size, target, taken (words the mix takes), copies.
 
     Every source's target is made of as many whole epochs as fit; the rest is filled in the order of the sampling keys
     (ties by id, nulls last, then size) by whole documents, up to the one whose middle lies beyond it: the error is at
     most half a document. Documents without words have size 0 and are never taken more often than the epochs.
-    Null texts have no words; null sources are a source. Empty input gives an empty result.
-
-    A source may hold a third of all rows: its keys are cut into STEPS steps, whose sums (map-side combined) say in
-    which step the budget ends; only that step's rows are sorted. Steps before it are taken, steps after it are not.
+    Null texts have no words; null sources are a source. Empty input gives an empty result. weight: a column of docs'
+    quality weights (default: text_weight). docs must be a table scan.
     """
-    text = F.col(text_col)
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text.alias("text"), word_count(text).alias("size"))
-    chosen = text_weight(F.col("text"), F.col("size")) if weight is None else weight
-    base = base.select("id", "source", "size", chosen.cast("double").alias("weight"))
-    base = base.select("id", "source", "size", sampling_key(F.col("id"), F.col("weight"), seed).alias("key"))
-    base = written(base.withColumn("step", F.floor((1.0 - F.exp(-F.col("key"))) * STEPS).cast("int")), "mix-sizes")
-    sums = written(base.groupBy("source", "step").agg(F.sum("size").alias("words")), "mix-steps")
-    aims = written(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), cap), "mix-targets")
-    aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    aims = aims.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    run = F.sum("words").over(W.partitionBy("source").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
-    ends = sums.withColumn("upto", run).withColumnRenamed("source", "s")
-    ends = ends.join(aims.select(F.col("source").alias("t"), "rest"), F.col("s").eqNullSafe(F.col("t"))).filter((F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("upto") > F.col("rest")))
-    ends = ends.select("s", F.col("step").alias("end_step"), (F.col("upto") - F.col("words")).alias("before"))
-    aims = written(aims.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "aim_source"), "mix-ends")
-    rows = base.join(small(aims), F.col("source").eqNullSafe(F.col("aim_source"))).drop("aim_source")
-    # a source whose rest is 0, or whose last step ends at its rest, has no end step: all of its steps are alike
-    extra = F.when(F.col("end_step").isNull(), (F.col("rest") > 0).cast("long")).when(F.col("step") < F.col("end_step"), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    sure = rows.filter(F.col("end_step").isNull() | (F.col("step") != F.col("end_step"))).withColumn("extra", extra)
-    order = W.partitionBy("source").orderBy("key", F.col("id").isNull(), "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    last = rows.filter(F.col("step") == F.col("end_step")).withColumn("cum", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = last.withColumn("extra", (F.col("cum") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("cum")
-    out = sure.unionByName(last).withColumn("copies", F.col("epochs") + F.when(F.col("size") > 0, F.col("extra")).otherwise(F.lit(0)))
-    return out.select("id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    keyed = _keyed(docs, id_col, text_col, source_col, weight, seed)
+    base = written(keyed.select("__row", "__id", "__source", "__size", "__key", "__step"), "mix-sizes")
+    out = _decided(base, *_plan(base, cap))
+    return out.select(F.col("__id").alias("id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__aim_source_size").alias("source_size"), F.col("__aim_target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, cap: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of docs as often as mix() says, with all its columns. No texts are shuffled unless the
+    rows in end steps are too many to broadcast their tags."""
+    keyed = _keyed(docs, id_col, text_col, source_col, weight, seed)
+    base = written(keyed.select("__row", "__id", "__source", "__size", "__key", "__step"), "mix-sizes")
+    out = _decided(keyed, *_plan(base, cap))
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
