@@ -76,15 +76,13 @@ class TwoGenerations:
         """The values of keys; compute takes the list of distinct keys that are in neither generation."""
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
-        young = self.young
-        found = list(map(young.get, keys))
-        if None in found:
-            missing = []
-            for k in {k for k, v in zip(keys, found, strict=True) if v is None}:
-                if (v := self.old.get(k)) is None:
-                    missing.append(k)
+        young, old = self.young, self.old
+        if missing := set(keys).difference(young):
+            new = []
+            for k in missing:
+                if (v := old.get(k)) is None:
+                    new.append(k)
                 else:
                     young[k] = v
-            young.update(zip(missing, self.compute(missing), strict=True))
-            found = list(map(young.__getitem__, keys))
-        return found
+            young.update(zip(new, self.compute(new), strict=True))
+        return list(map(young.__getitem__, keys))

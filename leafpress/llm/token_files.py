@@ -9,10 +9,13 @@ that width; the exceptions' places (uint16), then their full differences (uint32
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +86,23 @@ class TokenFile:
         return np.concatenate([np.zeros(0, np.uint32), *parts])[begin - first * BLOCK : end - first * BLOCK]
 
 
+#: Words of these characters need no normalising but lower-casing; * and / of Latin-1 (U+00D7, U+00F7) aren't letters.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed value: the tokenizer's own pieces of a lower-cased word of such characters.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Words:
     """Encodes texts by a tokenizer file whose pre-tokenizer drops white space: each run without ASCII white space is
-    encoded once and cached, which gives the same ids as encoding the whole text."""
+    encoded once and cached, which gives the same ids as encoding the whole text. Runs of plain characters are cut into
+    pieces, and each distinct piece goes to the tokenizer's model; others, and special tokens, to the whole tokenizer."""
 
     def __init__(self, path: str):
         import os
@@ -93,23 +110,33 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        self.cache = TwoGenerations(lambda words: [tuple(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.pieces = TwoGenerations(lambda new: list(map(self.piece, new)), 200_000)
+        self.words = TwoGenerations(self.new_words, 200_000)
+
+    def piece(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def new_words(self, words: list[str]) -> list[bytes]:
+        cut = [PIECE.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        found = iter(self.pieces.many([p for c in cut if c for p in c]))
+        whole = lambda w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        return [whole(w) if c is None else b"".join(islice(found, len(c))) for w, c in zip(words, cut, strict=True)]
 
     def encode(self, text: str, end: int) -> np.ndarray:
-        out: list[int] = []
-        for ids in self.cache.many(ascii_words(text)):
-            out += ids
-        out.append(end)
-        return np.array(out, np.uint32)
+        return np.frombuffer(b"".join(self.words.many(ascii_words(text))) + end.to_bytes(4, "little"), "<u4")
+
+
+#: White space to Python's split() beyond the six separators.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def ascii_words(text: str) -> list[str]:
-    """Runs without U+0009 to U+000D and space. split() also cuts at other white space, which the tokenizer drops anyway,
-    except where it is no white space to the tokenizer (U+001C to U+001F)."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w.decode() for w in text.encode().split()]
+    """Runs without U+0009 to U+000D and space."""
+    return text.split() if not OTHER_SPACE.search(text) else [w.decode() for w in text.encode().split()]
 
 
 _words: dict[str, Words] = {}
