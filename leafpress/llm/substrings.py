@@ -190,14 +190,9 @@ def hits(packed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "row long, id long, at int")
 
 
-#: Places in all rows (4 bytes each) up to which lists of places are broadcast to meet the texts; more are joined by row.
-BROADCAST_PLACES = 4_000_000
-
-
 def with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined by row with lists (row, ats: array; written)."""
-    places = lists.agg(F.coalesce(F.sum(F.size("ats") + F.lit(6)), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(lists) if places <= BROADCAST_PLACES else lists, "row", how)
+    """docs joined by row with lists (row, ats: array; written). They are joined by shuffle at every size: the lists grow with the texts."""
+    return docs.join(lists.hint("shuffle_merge"), "row", how)
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -248,11 +243,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = hits(probes(docs, max(64, size // (6 * BUCKET_WORDS))))
     listed = lambda df: df.groupBy("row").agg(F.collect_list("at").alias("ats"))  # noqa: E731  at most a document's words
     seen = written(contexts(with_texts(docs, written(listed(found), "sub-hits"), "inner")), "sub-contexts")
-    least = seen.groupBy("context").agg(F.min("id").alias("least"))
+    # written, so that the join's sides are plain exchanges and Spark can split the partition of a frequent context
+    least = written(seen.groupBy("context").agg(F.min("id").alias("least")), "sub-least")
     seen = written(seen.join(least, "context").select("row", "at", (F.col("least") < F.col("id")).alias("whole")), "sub-classes")
     rest = written(listed(seen.filter(~F.col("whole"))), "sub-rest")
     single = written(windows(with_texts(docs, rest, "inner")), "sub-windows")
     least = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter(F.col("least") < F.col("most"))
+    least = written(least.select("window", "least"), "sub-least-windows")
     single = single.join(least, "window").filter(F.col("least") < F.col("id")).select("row", F.col("at").alias("b"), (F.col("at") + WINDOW).alias("e"))
     whole = seen.filter("whole").select("row", F.greatest(F.col("at") - BLOCK, F.lit(0)).alias("b"), (F.col("at") + 2 * BLOCK).alias("e"))
     ranges = whole.union(single).select("row", (F.shiftleft(F.col("b").cast("long"), 32) + F.col("e")).alias("at"))

@@ -56,7 +56,6 @@ def rows(seed):
 def test_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(substrings, "HELD", 500)
     if seed == 2:
-        monkeypatch.setattr(substrings, "BROADCAST_PLACES", -1)
         monkeypatch.setattr(substrings, "CHUNK", 300)
     data = rows(seed)
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS id", "3 AS ats")
