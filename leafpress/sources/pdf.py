@@ -78,7 +78,7 @@ def pages(spark: SparkSession, files: DataFrame, adapter: Adapter = default_adap
                     yield pd.DataFrame({"doc_id": [path], "page_no": [1], "text": [""], "error": [f"{type(e).__name__}: {e}"]})
 
     read = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
-    missing = files.select(F.col("path").alias("doc_id")).join(read.select("doc_id").distinct(), "doc_id", "left_anti")
+    missing = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("doc_id")).join(read.select("doc_id").distinct(), "doc_id", "left_anti")
     return read.unionByName(missing.select("doc_id", F.lit(1).alias("page_no"), F.lit("").alias("text"), F.lit("ValueError: empty file").alias("error")))
 
 
