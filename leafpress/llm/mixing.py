@@ -27,7 +27,8 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     before = by.rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumn("left", F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0)))
     t = t.withColumn("open", F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    full = F.col("most") * F.col("open") <= F.col("weight") * F.col("left")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products that a long can't hold
+    full = wide("most") * wide("open") <= wide("weight") * wide("left")
     t = t.withColumn("full", F.min(full.cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)) == 1)
     first = F.min(F.when(~F.col("full"), F.struct(-F.col("open"), F.col("left"), F.col("open").alias("of")))).over(W.partitionBy())
     level = F.col("weight").cast("double") * first["left"].cast("double") / first["of"].cast("double")

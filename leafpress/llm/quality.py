@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [of.filter(F.col("y") == v).orderBy(*order).limit(most) for v in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("label_id"))
-    keys = texts.select(F.struct("label_id", "y").alias("key"), "text").select((F.col("key.label_id") * 2 + F.col("key.y")).alias("key"), "text")
+    # the hash, for an order that is the same in every run; its lowest bit is the label
+    keys = texts.select(F.xxhash64("label_id").bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.col("y").cast("long")).alias("key"), "text")
     rows = measure(keys, "key", "text").orderBy("id").collect()
     size = len(features(b""))
     return bradley_terry(np.array([r.x for r in rows]).reshape(-1, size), np.array([r.id & 1 for r in rows]))

@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 2) -> DataFrame:
-    """The rows of docs of which one of each component stays: that with its smallest id. Rows with a null id stay."""
+    """The rows of docs of which one of each component stays: that with its smallest id (all rows
+    that repeat this id, so exact dedup should come first). Rows with a null id stay."""
     out = near_duplicates(docs, id_col, text_col, words, most)
     gone = written(out.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct(), "simhash-gone")
     return docs.join(small(gone, 2_000_000), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
