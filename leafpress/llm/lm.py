@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -44,16 +45,19 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram of every byte, its text): the DEPTH bytes before it, the newest highest, then the byte; zeros before a text."""
-    data = np.frombuffer(b"".join(b"\0" * DEPTH + t for t in texts) or b"\0", np.uint8).astype(np.int64)
-    gram = data[DEPTH:].copy()
-    for j in range(1, DEPTH + 1):
-        gram |= data[DEPTH - j : len(data) - j] << (8 * (DEPTH + 1 - j))
+def grams(texts: list[bytes]) -> np.ndarray:
+    """The gram of every byte, text after text: the DEPTH (4) bytes before it, the newest highest, then the byte; zeros stand before a text."""
+    data = np.frombuffer(b"".join(b"\0" * DEPTH + t for t in texts) or b"\0" * DEPTH, np.uint8)
+    wide = data.astype(np.uint32)
+    low = wide[4:] | wide[:-4] << np.uint32(8) | wide[1:-3] << np.uint32(16) | wide[2:-2] << np.uint32(24)
+    gram = low.astype(np.int64)
+    gram |= data[3:-1].astype(np.int64) << 32
     size = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), size)
-    place = np.arange(len(owner)) + owner * DEPTH
-    return gram[place], owner
+    keep = np.ones(len(gram), bool)
+    gaps = np.cumsum(size + DEPTH)[:-1] - DEPTH  # where the zeros before each later text are
+    for j in range(DEPTH):
+        keep[gaps + j] = False
+    return gram[keep]
 
 
 class Level:
@@ -134,10 +138,10 @@ def counted(docs: DataFrame, train) -> DataFrame:
                 for i in part:
                     if train[i]:
                         words.update(lowered(texts[i]))
-                gram, owner = grams([texts[i] for i in part])
-                place, keys = pd.factorize(gram)
-                is_train = np.array([train[i] for i in part])[owner]
-                held.append((keys, np.bincount(place[is_train], minlength=len(keys)), np.bincount(place, minlength=len(keys))))
+                for learn in (True, False):
+                    place, keys = pd.factorize(grams([texts[i] for i in part if train[i] == learn]))
+                    every = np.bincount(place, minlength=len(keys))
+                    held.append((keys, every if learn else np.zeros_like(every), every))
                 if len(words) >= HELD:
                     yield send_words()
                 if sum(len(h[0]) for h in held) >= HELD:
@@ -264,39 +268,48 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     norm = np.log10(float(total + kinds + 1))
     kind = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64())])
 
+    def batch(rows: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in kind], schema=kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words, hot_n, hot_grams, hot_logs = share.value
-        of = dict(zip(hot_words, hot_n.tolist(), strict=True))
+        of = dict(zip(hot_words, hot_n.astype(float).tolist(), strict=True))
         end_log = float(np.log10(ends + 1.0) - norm)
         for b in batches:
             texts, tags, ids = (b.column(c).to_pylist() for c in ("text", "row", "id"))
             for part in chunks(texts):
-                out = {c: [] for c in kind.names}
                 mine = [texts[i] for i in part]
-                gram, owner = grams(mine)
+                size = np.array([len(t) for t in mine], np.int64)
+                gram = grams(mine)
                 place, keys = pd.factorize(gram)
                 at = np.minimum(np.searchsorted(hot_grams, keys), max(0, len(hot_grams) - 1))
                 hit = hot_grams[at] == keys if len(hot_grams) else np.zeros(len(keys), bool)
                 value = np.where(hit, hot_logs[at], 0.0) if len(hot_grams) else np.zeros(len(keys))
-                sums = np.bincount(owner, value[place], len(mine))
-                cold = np.nonzero(~hit[place])[0]
-                for k, i in enumerate(part):
-                    found = lowered(texts[i])
-                    n = list(map(of.get, found))
-                    rare = Counter(w for w, c in zip(found, n, strict=True) if c is None) if None in n else {}
-                    c = np.array([x for x in n if x is not None], float)
-                    for w, m in rare.items():
-                        for name, v in (("row", tags[i]), ("id", None), ("word", w), ("gram", None), ("n", m), ("known", None), ("base", None), ("score", None), ("bytes", None)):
-                            out[name].append(v)
-                    base = float((np.log10(c + 1.0) - norm).sum()) + end_log
-                    for name, v in (("row", tags[i]), ("id", ids[i]), ("word", None), ("gram", None), ("n", len(found) + 1), ("known", int((c > 0).sum()) + (ends > 0)), ("base", base), ("score", float(sums[k])), ("bytes", len(texts[i]))):
-                        out[name].append(v)
-                yield pa.RecordBatch.from_pydict(out, kind)
+                sums = np.zeros(len(mine))
+                if len(gram):
+                    sums[size > 0] = np.add.reduceat(value[place], (np.cumsum(size) - size)[size > 0])
+                tag = np.array(tags[part.start : part.stop], np.int64)
+                tokens, known, base, rare, rare_n, rare_of = [], [], [], [], [], []
+                for t in mine:
+                    found = lowered(t)
+                    n = np.array(list(map(of.get, found, repeat(-1.0))))
+                    c = n[n >= 0]
+                    more = Counter(compress(found, (n < 0).tolist())) if len(c) < len(n) else {}
+                    rare += more
+                    rare_n += more.values()
+                    rare_of.append(len(more))
+                    tokens.append(len(found) + 1)
+                    known.append(int((c > 0).sum()) + (ends > 0))
+                    base.append(float((np.log10(c + 1.0) - norm).sum()) + end_log)
+                columns = {"row": tag, "id": ids[part.start : part.stop], "n": tokens, "known": known, "base": base, "score": sums, "bytes": size}
+                yield batch(len(mine), columns)
+                if rare:
+                    yield batch(len(rare), {"row": np.repeat(tag, rare_of), "word": rare, "n": rare_n})
+                cold = np.nonzero(~hit[place])[0] if not hit.all() else ()
                 if len(cold):
-                    pairs, n = np.unique(np.stack([owner[cold], gram[cold]]), axis=1, return_counts=True)
-                    none = lambda t: pa.nulls(len(n), t)  # noqa: B023, E731
-                    tag = np.array(tags, np.int64)[np.array(part)][pairs[0]]
-                    yield pa.RecordBatch.from_arrays([pa.array(tag), none(pa.int64()), none(pa.binary()), pa.array(pairs[1]), pa.array(n.astype(np.int64)), *map(none, (pa.int64(), pa.float64(), pa.float64(), pa.int64()))], schema=kind)
+                    owner = np.searchsorted(np.cumsum(size), cold, "right")
+                    pairs, n = np.unique(np.stack([owner, gram[cold]]), axis=1, return_counts=True)
+                    yield batch(len(n), {"row": tag[pairs[0]], "gram": pairs[1], "n": n.astype(np.int64)})
 
     out = written(rows.mapInArrow(run, "row long, id long, word binary, gram long, n long, known long, base double, score double, bytes long"), "lm-parts")
     whole = out.filter(F.col("bytes").isNotNull())
