@@ -213,10 +213,10 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.names = {i: str(i).encode() for i in self.tokens}
-        self.cache = TwoGenerations(lambda missing: [merge(p, self.ranks) for p in missing])
+        self.cache = TwoGenerations(lambda piece: merge(piece, self.ranks))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable(self.cache.many(p))) for p in pieces(texts)]
+        return [list(chain.from_iterable(map(self.cache.__getitem__, p))) for p in pieces(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -66,23 +66,21 @@ def crc_mod(ids: Column, m: int) -> Column:
     return F.crc32(ids.cast("string").cast("binary")) % m
 
 
-class TwoGenerations:
-    """A bounded cache of computed values: when the young half is full it becomes the old one, so what is still used stays."""
+class TwoGenerations(dict):
+    """A bounded cache of computed values: when the young half is full it becomes the old one, so what is still used stays.
+
+    A lookup by cache[key] computes what is missing; values are never None.
+    """
 
     def __init__(self, compute, most: int = 250_000):
-        self.compute, self.most, self.young, self.old = compute, most, {}, {}
-
-    def many(self, keys: list) -> list:
-        """The values of keys; compute takes the list of distinct keys that are in neither generation."""
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        if missing := set(keys).difference(young):
-            new = []
-            for k in missing:
-                if (v := old.get(k)) is None:
-                    new.append(k)
-                else:
-                    young[k] = v
-            young.update(zip(new, self.compute(new), strict=True))
-        return list(map(young.__getitem__, keys))
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if (value := self.old.get(key)) is None:
+            value = self.compute(key)
+        self[key] = value
+        return value

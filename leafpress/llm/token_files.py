@@ -15,7 +15,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,8 @@ def pack_block(ids: np.ndarray) -> bytes:
     d = (ids - least).astype(np.uint32)
     width = int(np.partition(d, (len(d) - 1) * PERCENTILE // 100)[(len(d) - 1) * PERCENTILE // 100]).bit_length()
     high = np.nonzero(d >> np.uint32(width))[0] if width < 32 else np.zeros(0, np.int64)
-    bits = np.unpackbits(d.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    size = 2 if int(d.max()) < 1 << 16 else 4  # bytes to unpack
+    bits = np.unpackbits(d.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
     return HEAD.pack(least, len(d), width, len(high)) + np.packbits(bits, bitorder="little").tobytes() + high.astype("<u2").tobytes() + d[high].astype("<u4").tobytes()
 
 
@@ -46,9 +46,10 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     least, n, width, odd = HEAD.unpack_from(data, at)
     at += HEAD.size
     size = (n * width + 7) // 8
-    bits = np.zeros((n, 32), np.uint8)
+    full = 16 if width <= 16 else 32
+    bits = np.zeros((n, full), np.uint8)
     bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    d = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1).astype(np.uint32)
+    d = np.packbits(bits, axis=1, bitorder="little").view(f"<u{full // 8}").reshape(-1).astype(np.uint32)
     d[np.frombuffer(data, "<u2", odd, at + size)] = np.frombuffer(data, "<u4", odd, at + size + 2 * odd)
     return d + np.uint32(least)
 
@@ -112,22 +113,21 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.pieces = TwoGenerations(lambda new: list(map(self.piece, new)), 200_000)
-        self.words = TwoGenerations(self.new_words, 200_000)
+        self.pieces = TwoGenerations(self.piece, 300_000)
+        self.words = TwoGenerations(self.word, 300_000)
 
     def piece(self, text: str) -> bytes:
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def new_words(self, words: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
-        found = iter(self.pieces.many([p for c in cut if c for p in c]))
-        whole = lambda w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        return [whole(w) if c is None else b"".join(islice(found, len(c))) for w, c in zip(words, cut, strict=True)]
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str, end: int) -> np.ndarray:
-        return np.frombuffer(b"".join(self.words.many(ascii_words(text))) + end.to_bytes(4, "little"), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, ascii_words(text))) + end.to_bytes(4, "little"), "<u4")
 
 
 #: White space to Python's split() beyond the six separators.
