@@ -302,7 +302,7 @@ def p24_layout(spark, sf_dir):
 
 @query()
 def v1_vote(spark, sf_dir):
-    x = ocr.words_to_lines(words(spark, sf_dir).filter("line_no < 40"))
+    x = ocr.words_to_lines(words(spark, sf_dir))
     row = F.struct("t", "l", "line_no", F.when(F.col("line_no") % 2 == F.col("attempt"), F.col("text")).otherwise("x").alias("text"), "conf", "r", "b", "words")
     c = x.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1)))).groupBy("doc_id", "page_no", "attempt").agg(F.array_sort(F.collect_list(row)).alias("lines"), F.avg("conf").alias("mean_conf"), F.count_if(F.col("conf") < 48).alias("low_lines"))
     c = c.withColumn("text", F.array_join(F.transform("lines", lambda v: v.text), "\n")).withColumn("score", F.lit(0.5) - F.col("attempt") / 10)
