@@ -26,6 +26,9 @@ def test_base_spans_equal_the_patterns():
 def test_long_texts_take_linear_time():
     for t in ("a" * 400_000 + "!@", "1" * 300_000, "1 " * 300_000 + ".", "+1" * 200_000, "a@" * 200_000, "1." * 200_000):
         pii.spans(t)
+    for n in (5_000, 500_000):  # runs of digits longer than int() takes
+        for t, ips in (("0" * n + ".1.1.1", 1), ("1" * n + ".1.1.1", 0), ("1.1.1." + "0" * n, 1), ("0" * n + "255.1.1.1", 1), ("1." * n + "1.1.1", (n + 3) // 4), ("GB82" + "1" * n, 0)):
+            assert sum(s.kind == "ip" for s in pii.spans(t)) == ips, (t[:12], n)
 
 
 def test_added_spans():
