@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 
-#: The most rows of a narrow table (ids, hashes, counts; under 100 bytes a row) that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: The most rows of a narrow table (ids, hashes, counts; under 100 bytes a row) that may be broadcast; of tags of dropped rows.
+BROADCAST_ROWS, BROADCAST_TAGS = 200_000, 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (unset, as in tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (unset, as in tests) a local one.
+
+    A local folder serves a local master only; on a cluster tables would be scattered over machines.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -42,9 +48,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast only if it was counted and has at most that many (narrow) rows. Pass written tables."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, tags: bool = False) -> DataFrame:
+    """df, marked for broadcast only if it was counted and has at most BROADCAST_ROWS (tags: BROADCAST_TAGS) narrow rows; Spark
+    joins any other by shuffle. Pass written tables."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_TAGS if tags else BROADCAST_ROWS) else df
 
 
 def without_spaces(text: Column) -> Column:

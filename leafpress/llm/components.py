@@ -9,11 +9,11 @@ from leafpress.llm.common import written
 
 
 def _largest(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to its smallest neighbour (or itself)."""
+    """Each node's larger neighbours are linked to its smallest neighbour (or itself). Links may repeat."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     least = least.select("a", F.least("a", "m").alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _smallest(edges: DataFrame) -> DataFrame:

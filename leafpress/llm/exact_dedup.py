@@ -62,4 +62,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with all their columns. docs must be a table scan, as for classes."""
     docs = tagged(docs)
     gone = written(classes(docs, id_col, text_col).filter(~F.col("kept")).select(ROW), "exact-gone")
-    return docs.join(small(gone, 2_000_000), ROW, "left_anti").drop(ROW)
+    return docs.join(small(gone, tags=True), ROW, "left_anti").drop(ROW)

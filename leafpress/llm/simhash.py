@@ -15,7 +15,7 @@ from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -25,6 +25,8 @@ from leafpress.llm.components import components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011  # of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1. Fixed value.
 CHUNK = 1 << 16
+#: Fingerprints of a key that are compared with one another; keys with more are dealt anew.
+GROUP = 64
 
 
 def _remainder(v: int) -> int:
@@ -95,38 +97,92 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, print long")
 
 
+def _fine(keys: np.ndarray, prints: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(codeword, index of the row) of keys' third segments."""
+    low, high, near = tables
+    third = np.zeros(len(keys), np.int64)
+    for i in range(3):
+        at, n = SEGMENTS[(i + 2) % 3]
+        of = keys >> 34 == i
+        third[of] = ((prints[of] >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
+    errors = near[low[third & 0xFFF] ^ high[third >> 12]]
+    ok = errors >= 0
+    return ((third[:, None] ^ errors) >> 11)[ok], np.nonzero(ok)[0]
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _split(rows: DataFrame, key: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded) of rows (key, print): the verified pairs of keys with up to GROUP fingerprints, and the keys that have more.
+
+    Keys are counted first (map-side combined), so that no larger group is ever gathered.
+    """
+    met = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a"), F.max("print").alias("b")).filter(F.col("n") > 1)
+    met = written(met, "simhash-met")
+    pairs = met.filter((F.col("n") == 2) & (_differ(F.col("a"), F.col("b")) <= most)).select("a", "b")
+    few = small(written(met.filter((F.col("n") > 2) & (F.col("n") <= GROUP)).select(*key), "simhash-few"))
+    groups = rows.join(few, key, "left_semi").groupBy(*key).agg(F.collect_list("print").alias("all")).select("all", F.explode("all").alias("a"))
+    close = F.filter("all", lambda x: (x > F.col("a")) & (_differ(x, F.col("a")) <= most))  # only verified pairs leave the group
+    pairs = pairs.union(groups.select("a", F.explode(close).alias("b")))
+    return pairs, written(met.filter(F.col("n") > GROUP).select(*key), "simhash-crowded")
+
+
 def links(prints: DataFrame, most: int = 2) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (column print) differing in at most `most` (at most 2) bits.
 
-    A key's fingerprints are counted first (map-side combined). A pair is compared at once. Keys with more than two could
-    cost the square of their number: their fingerprints are instead dealt to the 65 values within one bit of each.
-    Fingerprints that meet there differ in at most two bits, any two such meet, and at most 65 can, so a star is enough.
+    The fingerprints of a key are compared with one another if they are at most GROUP. Those of fuller keys are dealt
+    anew by a codeword of the third segment too, and compared likewise. What is still crowded then are fingerprints of
+    which many lie within a few bits of each other: these meet at the values between them (see _middles), so that they cost
+    their number and never its square.
     """
     if not 0 <= most <= 2:
         raise ValueError("Golay keys find differences of at most two bits")
+    if not most:  # distinct fingerprints always differ
+        return prints.select(F.col("print").alias("a"), F.col("print").alias("b")).limit(0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables()
         for b in batches:
             p = b.column("print").to_numpy(zero_copy_only=False)
             keys, owners = golay_keys(p.view(np.uint64), tables)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p[owners])], ["key", "print"])
 
-    keys = prints.mapInArrow(run, "key long, print long")
-    met = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a"), F.max("print").alias("b")).filter(F.col("n") > 1), "simhash-met")
-    differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    pairs = met.filter((F.col("n") == 2) & (differ("a", "b") <= most)).select("a", "b")
-    crowded = small(written(met.filter(F.col("n") > 2).select("key"), "simhash-crowded"))
-    rest = keys.join(crowded, "key", "left_semi").select("print").distinct()
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = golay_tables()
+        for b in batches:
+            k, p = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "print"))
+            word, owners = _fine(k, p.view(np.uint64), tables)
+            yield pa.RecordBatch.from_arrays([pa.array(k[owners]), pa.array(word), pa.array(p[owners])], ["key", "word", "print"])
+
+    keys = prints.mapInArrow(coarse, "key long, print long")
+    pairs, crowded = _split(keys, ["key"], most)
+    if not crowded.isEmpty():
+        keys = written(keys.join(small(crowded), "key", "left_semi").mapInArrow(fine, "key long, word long, print long"), "simhash-fine")
+        more, crowded = _split(keys, ["key", "word"], most)
+        pairs = pairs.union(more)
+        if not crowded.isEmpty():
+            rest = keys.join(small(crowded), ["key", "word"], "left_semi").select("print").distinct()
+            pairs = pairs.union(_middles(rest, most))
+    return pairs.distinct()
+
+
+def _middles(prints: DataFrame, most: int) -> DataFrame:
+    """(a, b): links that connect fingerprints differing in at most `most` (1 or 2) bits, for dense ones.
+
+    Each is dealt to the 65 values within one bit of it. Those that meet at a value differ in at most two bits, any two
+    such meet at one, and at most 65 can, so a star of the value's fingerprints is enough.
+    """
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     if most == 2:
-        around = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-        around = rest.select("print", around.alias("bit")).select("print", F.col("print").bitwiseXOR(F.col("bit")).alias("middle"))
+        around = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), one)))
+        around = prints.select("print", around.alias("bit")).select("print", F.col("print").bitwiseXOR(F.col("bit")).alias("middle"))
     else:  # at most one bit: meet at the value with that bit cleared
-        around = F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("bit"))))
-        around = rest.select("print", around.alias("x")).select("print", F.struct(F.col("x.i"), F.col("print").bitwiseAND(F.bitwise_not(F.col("x.bit")))).alias("middle"))
+        around = F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("i"), one(i).alias("bit"))))
+        around = prints.select("print", around.alias("x")).select("print", F.struct(F.col("x.i"), F.col("print").bitwiseAND(F.bitwise_not(F.col("x.bit")))).alias("middle"))
     stars = around.groupBy("middle").agg(F.sort_array(F.collect_list("print")).alias("all")).filter(F.size("all") > 1)
-    stars = stars.select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 65)).alias("b"))
-    return pairs.union(stars).distinct()
+    return stars.select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 65)).alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 2) -> DataFrame:
@@ -151,4 +207,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat this id, so exact dedup should come first). Rows with a null id stay."""
     out = near_duplicates(docs, id_col, text_col, words, most)
     gone = written(out.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct(), "simhash-gone")
-    return docs.join(small(gone, 2_000_000), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(small(gone, tags=True), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
-from leafpress.llm import simhash
+from leafpress.llm import common, simhash
+from leafpress.llm.components import components
 
 
 def plain_print(text):
@@ -17,7 +19,7 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def plain_components(prints):
+def plain_components(prints, most=2):
     root = list(range(len(prints)))
 
     def find(i):
@@ -27,7 +29,7 @@ def plain_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= most:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(prints))]
 
@@ -53,18 +55,25 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def test_links_are_all_found_in_crowds(spark):
+@pytest.mark.parametrize(("group", "most"), [(64, 2), (3, 2), (0, 2), (64, 1), (3, 1), (0, 1), (64, 0)])
+def test_links_are_all_found_in_crowds(spark, monkeypatch, group, most):
+    """group 3 sends keys on to the third segment, group 0 all pairs and more to the values between them."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", group)  # both ways of joining
     rng = random.Random(2)
-    prints = {rng.getrandbits(64) for _ in range(150)}
+    prints = {rng.getrandbits(64) for _ in range(60)}
     centre = rng.getrandbits(64)
     for _ in range(200):  # a crowd around one value
         prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))))
+    for _ in range(150):  # and a denser one, in few bits
+        prints.add(~centre % (1 << 64) ^ sum(1 << b for b in rng.sample(range(0, 64, 7), rng.randrange(6))))
     prints = sorted(prints)
-    from leafpress.llm.components import components
-
     df = spark.createDataFrame([(signed(p),) for p in prints], "print long")
-    roots = {r.node: r.root for r in components(simhash.links(df)).collect()}
-    want = plain_components(prints)
+    found = simhash.links(df, most)
+    if most == 1:
+        assert all((r.a ^ r.b).bit_count() == 1 for r in found.collect())
+    roots = {r.node: r.root for r in components(found).collect()}
+    want = plain_components(prints, most)
     got = [roots.get(signed(p), signed(p)) for p in prints]
     assert {tuple(i for i, x in enumerate(want) if x == w) for w in set(want)} == {tuple(i for i, x in enumerate(got) if x == w) for w in set(got)}
 
