@@ -9,6 +9,7 @@ that width; the exceptions' places (uint16), then their full differences (uint32
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -18,8 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafpress.llm.common import TwoGenerations, shared_path, written
@@ -54,13 +57,11 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     return d + np.uint32(least)
 
 
-def pack(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """A file of documents (id, token ids), in the order given."""
-    every = np.concatenate([x for _, x in docs]).astype(np.uint32) if docs else np.zeros(0, np.uint32)
-    blocks = [pack_block(every[i : i + BLOCK]) for i in range(0, len(every), BLOCK)]
-    table = np.array([[NULL_ID if i is None else i, len(x)] for i, x in docs], "<i8").reshape(-1, 2)
+def pack(docs: np.ndarray, ids: np.ndarray) -> bytes:
+    """A file of documents (rows of id, NULL_ID for null, and number of token ids) whose ids stand one after another."""
+    blocks = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
     starts = np.cumsum([0, *map(len, blocks[:-1])]).astype("<i8")[: len(blocks)]
-    return MAGIC + np.array([len(docs), len(every), len(blocks)], "<i8").tobytes() + table.tobytes() + starts.tobytes() + b"".join(blocks)
+    return MAGIC + np.array([len(docs), len(ids), len(blocks)], "<i8").tobytes() + docs.astype("<i8").tobytes() + starts.tobytes() + b"".join(blocks)
 
 
 @dataclass(frozen=True)
@@ -87,10 +88,21 @@ class TokenFile:
         return np.concatenate([np.zeros(0, np.uint32), *parts])[begin - first * BLOCK : end - first * BLOCK]
 
 
+#: The pattern of the tokenizer's pre-tokenizer. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The parts of a tokenizer file for which words may be encoded one by one, and plain words piece by piece. Fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Words of these characters need no normalising but lower-casing; * and / of Latin-1 (U+00D7, U+00F7) aren't letters.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Fixed value: the tokenizer's own pieces of a lower-cased word of such characters.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: What PATTERN is for lower-cased words of such characters, and the line feed between words.
+PIECE = re.compile(PATTERN.replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9") + r"|\n")
 
 
 def byte_letters() -> dict[int, str]:
@@ -100,46 +112,137 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Pool:
+    """Words and their places in one array of token ids. What is missing is encoded by encode(words), which gives the ids
+    one after another and each word's number. A full pool becomes the old one, from which what is still used is taken over."""
+
+    def __init__(self, encode, most: int = 300_000):
+        self.encode, self.most = encode, most
+        self.place: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.old = self.place, self.ids, self.begin, self.size
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The places of distinct words. They hold until the next call."""
+        if len(self.place) >= self.most:
+            self.old = self.place, self.ids, self.begin, self.size
+            self.place = {}
+            self.ids, self.begin, self.size = self.ids[:0], self.begin[:0], self.size[:0]
+        missing = [w for w in words if w not in self.place]
+        old, ids, begin, size = self.old
+        if known := [w for w in missing if w in old]:
+            at = np.fromiter(map(old.__getitem__, known), np.int64, len(known))
+            self.add(known, *gathered(ids, begin, size, at))
+            missing = [w for w in missing if w not in old]
+        if missing:
+            self.add(missing, *self.encode(missing))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their places, one after another, and each word's number of ids."""
+        return gathered(self.ids, self.begin, self.size, places)
+
+
+def gathered(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = size[places]
+    at = np.repeat(begin[places] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return ids[at], n
+
+
 class Words:
-    """Encodes texts by a tokenizer file whose pre-tokenizer drops white space: each run without ASCII white space is
-    encoded once and cached, which gives the same ids as encoding the whole text. Runs of plain characters are cut into
-    pieces, and each distinct piece goes to the tokenizer's model; others, and special tokens, to the whole tokenizer."""
+    """Encodes texts by a tokenizer file.
+
+    If the file's normalizer and pre-tokenizer are those above, white space is dropped: each run without ASCII white space
+    is encoded once and cached, which gives the same ids as encoding the whole text. Runs of plain characters are cut into
+    pieces, and each distinct piece goes to the tokenizer's model; others, and added tokens, to the whole tokenizer. With
+    any other file each whole text goes to the tokenizer.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = 1):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_words = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and not parts["model"].get("dropout")
+        # a word that may hold one of these goes to the tokenizer whole
+        added = [a for a in parts["added_tokens"] if a["content"]]
+        self.by_words &= not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or any(c.isspace() for c in a["content"]) for a in added)
+        self.added = [a["content"] for a in added]
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.pieces = TwoGenerations(self.piece, 300_000)
-        self.words = TwoGenerations(self.word, 300_000)
+        self.pieces = TwoGenerations(self.piece, 200_000)
+        self.pool, self.end = Pool(self.words), end
 
     def piece(self, text: str) -> bytes:
+        if text == "\n":
+            return b""
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str, end: int) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, ascii_words(text))) + end.to_bytes(4, "little"), "<u4")
-
-
-#: White space to Python's split() beyond the six separators.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def ascii_words(text: str) -> list[str]:
-    """Runs without U+0009 to U+000D and space."""
-    return text.split() if not OTHER_SPACE.search(text) else [w.decode() for w in text.encode().split()]
-
-
-_words: dict[str, Words] = {}
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and their numbers. Plain words are cut into pieces all at once."""
+        ok = np.fromiter((PLAIN.fullmatch(w) is not None for w in words), bool, len(words)) if words else np.zeros(0, bool)
+        if any(a in "\n".join(words) for a in self.added):
+            ok &= np.fromiter((not any(a in w for a in self.added) for w in words), bool, len(words))
+        plain = [w for w, x in zip(words, ok, strict=True) if x]
+        found = PIECE.findall("\n".join([*plain, ""]).lower())
+        parts = list(map(self.pieces.__getitem__, found))
+        sums = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        ends = np.nonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))[0]
+        size = np.zeros(len(words), np.int64)
+        size[ok] = np.diff(sums[ends], prepend=0)
+        out = [b"".join(parts)]
+        if len(plain) < len(words):  # the others are put between them
+            others = [self.whole(w) for w, x in zip(words, ok, strict=True) if not x]
+            size[~ok] = list(map(len, others))
+            mine, cuts = iter(others), zip(np.concatenate([[0], sums[ends[:-1]]]).tolist(), sums[ends].tolist(), strict=True)
+            out = [out[0][slice(*next(cuts))] if x else next(mine) for x in ok.tolist()]
+        return np.frombuffer(b"".join(out), "<u4"), size // 4
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, each with the end id, one after another, and their numbers."""
+        if not self.by_words:
+            parts = [self.whole(t) + self.end.to_bytes(4, "little") for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
+        words = pc.ascii_split_whitespace(texts)  # by the six separators; empty words have no ids
+        flat = words.flatten().dictionary_encode()
+        places = self.pool.places(flat.dictionary.to_pylist())
+        ids, n = self.pool.gather(places[flat.indices.to_numpy()])
+        sums = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum(words.value_lengths().to_numpy())
+        size = np.diff(sums[ends], prepend=0) + 1
+        out = np.full(len(ids) + len(texts), self.end, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(size) - 1] = False
+        out[inner] = ids
+        return out, size
+
+
+def groups(texts: pa.StringArray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes."""
+    begin = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
+        if size >= most:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+_words: dict[tuple[str, int], Words] = {}
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -161,53 +264,56 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int = 1, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        if path not in _words:
-            _words[path] = Words(path)
-        w = _words[path]
-        docs, part, n = [], None, 0
-        count = 0
+        if (path, end) not in _words:
+            _words[path, end] = Words(path, end)
+        w = _words[path, end]
+        docs, ids, part, n, count = [], [], None, 0, 0
+        attempt = uuid.uuid4().hex
 
-        def close(attempt: str) -> pa.RecordBatch:
-            nonlocal docs, n, count
+        def close() -> pa.RecordBatch:
+            nonlocal docs, ids, n, count
             fs, root = file_system(folder)
             fs.create_dir(root, recursive=True)
             name = f"part-{part:06d}-{count:04d}.lptok"
+            table = np.concatenate(docs)
             with fs.open_output_stream(f"{root}/{name}.{attempt}") as f:
-                f.write(pack(docs))
+                f.write(pack(table, np.concatenate(ids)))
             fs.move(f"{root}/{name}.{attempt}", f"{root}/{name}")
-            out = pa.RecordBatch.from_pydict({"part": [part], "piece": [count], "path": [f"{folder}/{name}"], "documents": [len(docs)], "ids": [n]}, pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
-            docs, n, count = [], 0, count + 1
+            out = pa.RecordBatch.from_pydict({"part": [part], "piece": [count], "path": [f"{folder}/{name}"], "documents": [len(table)], "ids": [n]}, pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
+            docs, ids, n, count = [], [], 0, count + 1
             return out
 
-        attempt = uuid.uuid4().hex
         for b in batches:
             part = b.column("part")[0].as_py() if b.num_rows else part
-            for i, t in zip(b.column("id"), b.column("text"), strict=True):
-                x = w.encode(t.as_py(), end)
-                docs.append((i.as_py(), x))
+            texts, keys = b.column("text"), b.column("id").fill_null(NULL_ID).to_numpy()
+            for lo, hi in groups(texts):
+                x, sizes = w.encode(texts.slice(lo, hi - lo))
+                docs.append(np.stack([keys[lo:hi], sizes], axis=1))
+                ids.append(x)
                 n += len(x)
                 if n >= MOST_IDS:
-                    yield close(attempt)
+                    yield close()
         if docs:
-            yield close(attempt)
+            yield close()
 
     return rows.mapInArrow(run, "part int, piece int, path string, documents long, ids long")
 
 
-#: Ids in one file at most (but for one longer document): what a task holds of its output.
-MOST_IDS = 8_000_000
+#: Ids in one file at most (but for the texts encoded last): what a task holds of its output. Parts summed together.
+MOST_IDS, PARTS = 8_000_000, 1024
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document in files (as write_files returns them, written): start is the
     number of ids in the documents before it, over all files."""
-    places = files.select("part", "piece", "path", "ids").orderBy("part", "piece").collect()  # a row for each file
-    starts, total = [], 0
-    for p in places:
-        starts.append((p.path, total))
-        total += p.ids
-    spark = files.sparkSession
-    todo = spark.createDataFrame(starts, "path string, start long").repartition(max(1, len(starts)), "path")
+    # a prefix sum in three levels: over a part's pieces, over PARTS parts, and over the sums of these
+    parts = files.groupBy("part").agg(F.sum("ids").alias("n")).withColumn("many", F.floor(F.col("part") / PARTS))
+    many = parts.groupBy("many").agg(F.sum("n").alias("m"))
+    before = lambda c, order, *by: F.coalesce(F.sum(c).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    many = many.select("many", before("m", "many").alias("m_before"))
+    parts = parts.select("part", "many", before("n", "part", "many").alias("n_before")).join(many, "many")
+    start = F.col("m_before") + F.col("n_before") + before("ids", "piece", "part")
+    todo = files.join(parts, "part").select("path", start.alias("start")).repartition(max(1, files.count()), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
