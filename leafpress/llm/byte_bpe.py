@@ -213,17 +213,29 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.names = {i: str(i).encode() for i in self.tokens}
+        # all tokens one after another, for decoding: where each begins, and its bytes
+        self.size = np.zeros(max(self.tokens, default=-1) + 1, np.int64)
+        self.size[list(self.tokens)] = list(map(len, self.tokens.values()))
+        self.begin = np.cumsum(self.size) - self.size
+        self.table = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), np.uint8)
         self.cache = TwoGenerations(lambda piece: merge(piece, self.ranks))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [list(chain.from_iterable(map(self.cache.__getitem__, p))) for p in pieces(texts)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
     def offsets(self, ids: list[int]) -> np.ndarray:
         """The byte at which each token starts in the UTF-8 text."""
-        return np.concatenate([[0], np.cumsum([len(self.tokens[i]) for i in ids], dtype=np.int64)])[:-1]
+        n = self.size[np.asarray(ids, np.int64)]
+        return np.cumsum(n) - n
+
+    def decode(self, ids: list[int], offsets: np.ndarray) -> bytes:
+        """The bytes of tokens, each put at its offset. Any run of a text's tokens with their offsets gives its bytes."""
+        ids, offsets = np.asarray(ids, np.int64), np.asarray(offsets, np.int64)
+        if not len(ids):
+            return b""
+        at = np.repeat(self.begin[ids] - offsets, self.size[ids])
+        at += np.arange(offsets[0], offsets[0] + len(at))
+        return self.table[at].tobytes()
 
     def name(self, ids: list[int]) -> bytes:
         """The ids as decimal text, joined by one space."""
@@ -248,10 +260,10 @@ def runs(texts: list[str], chars: int = 1 << 19) -> Iterator[tuple[int, list[str
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """A row for each row of docs: id, n_tokens, and ids with the byte offset of each token.
+    """A row for each row of docs: id, n_tokens, ids with the byte offset of each token, and decoded_sha256, the SHA-256 of
+    the bytes that decoding the ids by their offsets gives.
 
-    digests: instead of ids and offsets, the SHA-256 of the ids (decimal, joined by one space) and of the bytes that
-    decoding the ids gives. Null and empty texts have no tokens. Nothing is shuffled; a worker holds one Arrow batch and
+    digests: instead of ids and offsets, the SHA-256 of the ids (decimal, joined by one space). Null and empty texts have no tokens. Nothing is shuffled; a worker holds one Arrow batch and
     a cache of bounded size.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -263,24 +275,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for at, part in runs(texts):
                 ids = c.encode(part)
                 n = pa.array([len(x) for x in ids], pa.int64())
+                offsets = list(map(c.offsets, ids))
+                decoded = pa.array([hashlib.sha256(c.decode(x, o)).hexdigest() for x, o in zip(ids, offsets, strict=True)], pa.string())
                 if digests:
-                    more = [pa.array([hashlib.sha256(f(x)).hexdigest() for x in ids], pa.string()) for f in (c.name, c.decode)]
-                    names = ["ids_sha256", "decoded_sha256"]
+                    more, names = [pa.array([hashlib.sha256(c.name(x)).hexdigest() for x in ids], pa.string()), decoded], ["ids_sha256", "decoded_sha256"]
                 else:
-                    more = [pa.array(ids, pa.list_(pa.int32())), pa.array([c.offsets(x) for x in ids], pa.list_(pa.int64()))]
-                    names = ["ids", "offsets"]
+                    more, names = [pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int64())), decoded], ["ids", "offsets", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(part)), n, *more], ["id", "n_tokens", *names])
 
-    return rows.mapInArrow(run, "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, offsets array<long>"))
+    return rows.mapInArrow(run, "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, offsets array<long>, decoded_sha256 string"))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """(id, text) of rows with id and ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
+    """(id, text) of rows with id, ids and offsets (of a whole text or a run of its tokens); bytes that are no UTF-8 become
+    U+FFFD, null ids an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            texts = [c.decode(x or []).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            rows = zip(b.column("ids").to_pylist(), b.column("offsets").to_pylist(), strict=True)
+            texts = [c.decode(x or [], o or []).decode("utf-8", "replace") for x, o in rows]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
-    return tokens.select("id", "ids").mapInArrow(run, "id long, text string")
+    return tokens.select("id", "ids", "offsets").mapInArrow(run, "id long, text string")

@@ -47,7 +47,10 @@ def test_ids_equal_tiktoken(enc):
     c = byte_bpe.Codec(PATH)
     got = c.encode(texts)
     assert got == [enc.encode_ordinary(t) for t in texts]
-    assert [c.decode(x).decode() for x in got] == texts
+    assert [c.decode(x, c.offsets(x)).decode() for x in got] == texts
+    for x in got:  # a run of tokens by its offsets
+        o, half = c.offsets(x), len(x) // 2
+        assert c.decode(x[half:], o[half:]) == b"".join(map(enc.decode_single_token_bytes, x[half:]))
 
 
 def test_classes_equal_tiktoken():
@@ -70,4 +73,7 @@ def test_encode_and_decode_rows(spark, enc):
     assert got == want
     assert [o for r in out.collect() if r.id == 3 for o in r.offsets][:4] == [0, 2, 4, 7]
     assert sorted((r.id or -1, r.text) for r in byte_bpe.decode(out, PATH).collect()) == sorted((i or -1, t or "") for i, t in rows)
+    import hashlib
+
+    assert {r.decoded_sha256 for r in out.collect()} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
     assert byte_bpe.encode(df.limit(0), PATH).count() == 0
