@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of tags, and its type: a file's hash and the row's place in it.
+ROW, ROW_TYPE = "__row", "struct<f:long,i:long>"
+#: Nodes of a plan over one Parquet scan that give each of its rows once at most.
+ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs with a tag for each row (column ROW) that is the same in every scan, however the files are split: the Parquet
+    file's path (hashed) and the row's place in it. What isn't a plain scan of Parquet files is written first."""
+    plan, names = docs._jdf.queryExecution().analyzed(), []
+    while True:
+        names.append(plan.nodeName())
+        if plan.children().size() != 1:
+            break
+        plan = plan.children().head()
+    if ROW_BY_ROW.issuperset(names) and names[-1] == "LogicalRelation":
+        meta = docs.metadataColumn("_metadata")
+        try:
+            return docs.withColumn(ROW, F.struct(F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("i")))
+        except AnalysisException:  # files of another format
+            pass
+    return tagged(written(docs, "rows"))
+
+
 def small(df: DataFrame, tags: bool = False) -> DataFrame:
     """df, marked for broadcast only if it was counted and has at most BROADCAST_ROWS (tags: BROADCAST_TAGS) narrow rows; Spark
     joins any other by shuffle. Pass written tables."""

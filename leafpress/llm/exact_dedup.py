@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import small, without_spaces, written
-
-ROW = "__row"
-
-
-def tagged(docs: DataFrame) -> DataFrame:
-    """docs with a tag for each row. The tag is the same in every scan, so docs must be a table scan (or written first)."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
+from leafpress.llm.common import ROW, small, tagged, without_spaces, written
 
 def _semi(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """rows that have a key: broadcast if the keys are few; else a sort-merge join ended by a write, so that Spark can
@@ -59,7 +51,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pre
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. docs must be a table scan, as for classes."""
+    """The rows of docs that stay, with all their columns."""
     docs = tagged(docs)
     gone = written(classes(docs, id_col, text_col).filter(~F.col("kept")).select(ROW), "exact-gone")
     return docs.join(small(gone, tags=True), ROW, "left_anti").drop(ROW)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import small, word_count, written
+from leafpress.llm.common import small, tagged, word_count, written
 
-#: Steps into which the sampling keys of a source are cut; only the step that holds the budget's end is sorted row by row.
-STEPS = 4096
+#: Steps of the sampling keys for each doubling; only the step that holds the budget's end is sorted row by row.
+STEPS = 1024
+#: Weights are taken within these bounds; none or bad ones (null, NaN, not above 0) as the least.
+LEAST, MOST = 1e-300, 1e300
 
 
 def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
@@ -36,9 +38,10 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
 
 
 def sampling_key(id_col: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, u in (0, 1) from SHA-256 of seed and id: the same in every run. No or bad weights (null, NaN, not above 0) sort last."""
+    """-ln(u) / weight, u in (0, 1) from SHA-256 of seed and id: the same in every run. No or bad weights sort last."""
     u = (F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"), 256), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
-    return F.when((weight > 0) & ~F.isnan(weight), -F.log(u) / weight).otherwise(F.lit(float("inf")))
+    weight = F.when((weight > 0) & ~F.isnan(weight), F.greatest(F.least(weight, F.lit(MOST)), F.lit(LEAST))).otherwise(F.lit(LEAST))
+    return -F.log(u) / weight
 
 
 def text_weight(text: Column, words: Column) -> Column:
@@ -49,17 +52,19 @@ def text_weight(text: Column, words: Column) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: str) -> DataFrame:
     """docs with a tag for each row (the same in every scan), its id, source, size, sampling key and the key's step."""
     text = F.col(text_col)
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__id": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(text)})
+    rows = tagged(docs).withColumns({"__id": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(text)})
     rows = rows.withColumn("__weight", (text_weight(text, F.col("__size")) if weight is None else weight).cast("double"))
     rows = rows.withColumn("__key", sampling_key(F.col("__id"), F.col("__weight"), seed))
-    return rows.withColumn("__step", F.floor((1.0 - F.exp(-F.col("__key"))) * STEPS).cast("int")).drop("__weight")
+    return rows.withColumn("__step", F.floor(F.log2("__key") * STEPS).cast("int")).drop("__weight")
 
 
 def _plan(base: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     """For each source its target, epochs and the step in which its budget ends; and for the rows of those steps, whether they are taken once more.
 
-    A source may hold a third of all rows: its keys are cut into STEPS steps, whose sums (map-side combined) say in
-    which step the budget ends; only that step's rows are sorted. Steps before it are taken, steps after it are not.
+    A source may hold a third of all rows: its keys are cut into steps, whose sums (map-side combined) say in which step
+    the budget ends; only that step's rows are sorted. Steps before it are taken, steps after it are not. The steps are even
+    in the key's logarithm, where the density of -ln(u) is at most 1/e whatever the weight: a step expects at most
+    1/e * ln(2) / STEPS, one in 3900, of a source's rows, for any mixture of weights.
     """
     sums = written(base.groupBy("__source", "__step").agg(F.sum("__size").alias("words")), "mix-steps")
     aims = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), cap)
@@ -91,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     (ties by id, nulls last, then size) by whole documents, up to the one whose middle lies beyond it: the error is at
     most half a document. Documents without words have size 0 and are never taken more often than the epochs.
     Null texts have no words; null sources are a source. Empty input gives an empty result. weight: a column of docs'
-    quality weights (default: text_weight). docs must be a table scan.
+    quality weights (default: text_weight).
     """
     keyed = _keyed(docs, id_col, text_col, source_col, weight, seed)
     base = written(keyed.select("__row", "__id", "__source", "__size", "__key", "__step"), "mix-sizes")

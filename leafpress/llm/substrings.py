@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from leafpress.llm.common import written
+from leafpress.llm.common import ROW, ROW_TYPE, tagged, written
 
 WINDOW = 50
 BLOCK = 25
@@ -28,7 +28,20 @@ BLOCK = 25
 CHUNK, BUCKET_WORDS, HELD = 1_000_000, 1_000_000, 4_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses
 NO_ID = (1 << 63) - 1
-RUN = np.dtype([("row", "<i8"), ("id", "<i8"), ("at", "<u4"), ("n", "<u4")])
+ROW_KIND = np.dtype([("f", "<i8"), ("i", "<i8")])
+RUN = np.dtype([("row", ROW_KIND), ("id", "<i8"), ("at", "<u4"), ("n", "<u4")])
+
+
+def rows_of(column: pa.StructArray) -> np.ndarray:
+    """Row tags as a structured array."""
+    out = np.empty(len(column), ROW_KIND)
+    for k in ROW_KIND.names:
+        out[k] = column.field(k).to_numpy()
+    return out
+
+
+def tags_of(rows: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[k])) for k in ROW_KIND.names], ROW_KIND.names)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -80,7 +93,7 @@ def pack(row: np.ndarray, ids: np.ndarray, at: np.ndarray, h: np.ndarray) -> byt
     """Probes in order of their place as bytes: runs of one document (its row, id, first place, number), then for each probe
     the low 48 bits of its hash and the step from the place before it."""
     step = np.diff(at, prepend=at[:1])
-    new = np.concatenate([[True], np.diff(row) != 0]) | (step > 0xFFFF) | (step < 0)
+    new = np.concatenate([[True], row[1:] != row[:-1]]) | (step > 0xFFFF) | (step < 0)
     first = np.nonzero(new)[0]
     runs = np.empty(len(first), RUN)
     runs["row"], runs["id"], runs["at"] = row[first], ids[first], at[first]
@@ -106,7 +119,7 @@ def probes(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows, ids = b.column("text").to_pylist(), b.column("row").to_numpy(), b.column("id").to_numpy()
+            texts, rows, ids = b.column("text").to_pylist(), rows_of(b.column("row")), b.column("id").to_numpy()
             for lo, hi in groups(texts):
                 x = Hashed(texts[lo:hi])
                 place, owner = x.starts(BLOCK)
@@ -167,7 +180,7 @@ def hits(packed: DataFrame) -> DataFrame:
             place = np.minimum(np.searchsorted(h, mine), len(h) - 1)
             ok = (h[place] == mine) & (ids >= least[place])
             if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(row[ok]), pa.array(ids[ok]), pa.array(at[ok].astype(np.int32))], ["row", "id", "at"])
+                yield pa.RecordBatch.from_arrays([tags_of(row[ok]), pa.array(ids[ok]), pa.array(at[ok].astype(np.int32))], ["row", "id", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, spool, index = None, None, None
@@ -187,7 +200,7 @@ def hits(packed: DataFrame) -> DataFrame:
             yield from found(spool, index)
             spool.close()
 
-    return dealt.mapInArrow(run, "row long, id long, at int")
+    return dealt.mapInArrow(run, f"row {ROW_TYPE}, id long, at int")
 
 
 def with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -200,7 +213,7 @@ def contexts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows, ids, ats = b.column("text").to_pylist(), b.column("row").to_numpy(), b.column("id").to_numpy(), b.column("ats")
+            texts, rows, ids, ats = b.column("text").to_pylist(), rows_of(b.column("row")), b.column("id").to_numpy(), b.column("ats")
             for lo, hi in groups(texts):
                 x = Hashed(texts[lo:hi])
                 part = ats.slice(lo, hi - lo)
@@ -209,9 +222,9 @@ def contexts(docs: DataFrame) -> DataFrame:
                 left, right = np.minimum(at, BLOCK), np.minimum(x.size[owner] - at, 2 * BLOCK)
                 place = x.begin[owner] + at
                 c = mixed(x.ranges(place - left, place + right) + left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array(at.astype(np.int32)), pa.array(c.view(np.int64))], ["row", "id", "at", "context"])
+                yield pa.RecordBatch.from_arrays([tags_of(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array(at.astype(np.int32)), pa.array(c.view(np.int64))], ["row", "id", "at", "context"])
 
-    return docs.mapInArrow(run, "row long, id long, at int, context long")
+    return docs.mapInArrow(run, f"row {ROW_TYPE}, id long, at int, context long")
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -219,7 +232,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows, ids, ats = b.column("text").to_pylist(), b.column("row").to_numpy(), b.column("id").to_numpy(), b.column("ats")
+            texts, rows, ids, ats = b.column("text").to_pylist(), rows_of(b.column("row")), b.column("id").to_numpy(), b.column("ats")
             for lo, hi in groups(texts):
                 x = Hashed(texts[lo:hi])
                 part = ats.slice(lo, hi - lo)
@@ -231,9 +244,9 @@ def windows(docs: DataFrame) -> DataFrame:
                 place = np.unique(x.begin[owner[ok]] + every[ok])
                 owner = np.searchsorted(x.begin, place, "right") - 1
                 h = x.ranges(place, place + WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array((place - x.begin[owner]).astype(np.int32))], ["window", "row", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), tags_of(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array((place - x.begin[owner]).astype(np.int32))], ["window", "row", "id", "at"])
 
-    return docs.mapInArrow(run, "window long, row long, id long, at int")
+    return docs.mapInArrow(run, f"window long, row {ROW_TYPE}, id long, at int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -272,10 +285,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A word is removed if a window of WINDOW words over it also starts in a document with a smaller id; windows are judged
     on the input. Rows with one id are one document here: they remove nothing from each other. Null ids are larger than all
-    others and equal to one another. Null texts have no words; shorter texts than a window lose none. docs must be a
-    table scan: rows are told apart by a tag that is the same in every scan.
+    others and equal to one another. Null texts have no words; shorter texts than a window lose none. Rows are told apart
+    by their tags.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("real"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    base = tagged(docs).select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("real"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     base = base.withColumn("id", F.coalesce("real", F.lit(NO_ID).cast("long")))
     lists = written(repeats(base.select("row", "id", "text")), "sub-ranges")
     rows = with_texts(base.select("row", F.col("real").alias("id"), "text"), lists, "left")

@@ -31,7 +31,8 @@ def copies(seed):
 @pytest.mark.parametrize("digests", [True, False])
 def test_exact_classes(spark, monkeypatch, broadcast, digests):
     if not broadcast:
-        monkeypatch.setattr(exact_dedup, "small", lambda df, rows=0: df)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(common, "BROADCAST_TAGS", -1)
     rows = copies(1)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS len", "3 AS keep_id").coalesce(1)
     got = exact_dedup.classes(exact_dedup.tagged(df), all_digests=digests).collect()
@@ -97,6 +98,19 @@ def test_mix_weights(spark):
     assert rate(lambda i: i % 2 == 0) > 1.5 * rate(lambda i: i % 2 and i % 5) > 1.5 * rate(lambda i: i % 2 and i % 5 == 0)
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.05, 1e-12, None, "mixed"])
+def test_no_step_is_large(spark, weight):
+    """The rows of one step are sorted by one task, so they must be few whatever the weights are."""
+    from pyspark.sql import functions as F
+
+    w = F.expr("power(10D, cast(doc_id % 9 as int) - 8)") if weight == "mixed" else F.lit(weight).cast("double")
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.lit("s").alias("source"))
+    keyed = mixing._keyed(docs, "doc_id", "text", "source", w, "mix")
+    assert keyed.groupBy("__step").count().agg(F.max("count")).first()[0] < 40
+    again = [r[0] for r in keyed.orderBy("__key").select("__step").collect()]
+    assert again == sorted(again)
+
+
 def test_mix_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.mixed(df).count() == 0

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from leafpress.llm import substrings
+from leafpress.llm import common, exact_dedup, mixing, substrings
 
 
 def brute(rows):
@@ -68,8 +68,37 @@ def test_pack():
     row = np.sort(rng.integers(0, 9, 400))
     at = np.concatenate([np.sort(rng.integers(0, 1_000_000, (row == r).sum())) for r in range(9)])
     h = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
-    a, b, c, d = substrings.unpack(substrings.pack(row, row * 5, at, h))
-    assert (a == row).all() and (b == row * 5).all() and (c == at).all() and (d == h & np.uint64((1 << 48) - 1)).all()
+    tags = np.array([(7 * r, r) for r in row.tolist()], substrings.ROW_KIND)
+    a, b, c, d = substrings.unpack(substrings.pack(tags, row * 5, at, h))
+    assert (a == tags).all() and (b == row * 5).all() and (c == at).all() and (d == h & np.uint64((1 << 48) - 1)).all()
+
+
+def test_same_result_if_later_scans_are_split_otherwise(spark, monkeypatch, tmp_path):
+    """As when the cluster's core count changes between two scans."""
+    data = rows(4)
+    path = str(tmp_path / "docs")
+    for part in (data[::2], data[1::2]):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").option("parquet.block.size", 4096).parquet(path)
+    real, n = common.written, iter(range(10**6))
+
+    def written(df, label):
+        out = real(df, label)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ["1g", "700"][next(n) % 2])
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return out
+
+    for m in (substrings, exact_dedup, mixing):
+        monkeypatch.setattr(m, "written", written)
+    try:
+        docs = spark.read.parquet(path)
+        got = sorted((r.id if r.id is not None else -1, r.n_words, r.n_removed, r.kept) for r in substrings.deduplicate(docs).collect())
+        assert got == brute(data)
+        assert exact_dedup.deduplicate(docs).count() == len({"".join((t or "").split()) for _, t in data})
+        docs = docs.withColumn("source", (docs.doc_id % 2).cast("string"))
+        assert mixing.mixed(docs).count() == sum(r.copies for r in mixing.mix(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_empty(spark):
