@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from leafpress.llm import byte_bpe, quality
 from tests.llm.test_native import fill, plain_classes
-from tests.llm.test_simhash import plain_components, plain_print
+from tests.llm.test_near import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,9 +45,8 @@ def test_exact(stages):
 
 
 def test_near(stages):
-    rows = sorted((r.doc_id, r.text) for r in stages[2])
-    roots = plain_components([plain_print(t) for _, t in rows])
-    assert sorted(r.doc_id for r in stages[3]) == sorted({rows[k][0] for k in roots})
+    """By the rule for stages on word shingles: five words, similarity of at least 0.8."""
+    assert sorted(r.doc_id for r in stages[3]) == plain_kept([(r.doc_id, r.text) for r in stages[2]])
 
 
 def test_mix_and_tokens(stages):
@@ -62,7 +61,7 @@ def test_mix_and_tokens(stages):
     assert max(Counter(r.doc_id for r in stages[4]).values()) <= 3
     assert Counter(r.doc_id for r in stages[5]) == Counter(r.doc_id for r in stages[4])
     texts, c = {r.doc_id: r.text for r in stages[4]}, byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"))
-    assert all(c.decode(r.ids).decode() == texts[r.doc_id] and r.n_tokens == len(r.ids) == len(r.offsets) for r in stages[5])
+    assert all(c.decode(r.ids, r.offsets).decode() == texts[r.doc_id] and r.n_tokens == len(r.ids) == len(r.offsets) for r in stages[5])
 
 
 def test_empty_documents(spark, tmp_path):
