@@ -63,7 +63,7 @@ def recommend(probe: DataFrame, page_counts: DataFrame, missing: bool = False) -
 def scored(pages: DataFrame, text: str = "text", profile: str = "none") -> DataFrame:
     """pages with norm, score, key_lines, weak and low (a page that is blank, weak or scores low)."""
     out = pages.withColumn("norm", T.normalize(F.coalesce(F.col(text), F.lit("")), profile))
-    out = out.withColumn("score", L.quality("norm")).withColumn("key_lines", F.slice(L.clean_lines(T.page_lines(F.col("norm"))), 1, L.KEY_LINES))
+    out = out.withColumn("judged", L.judge("norm")).withColumns({"score": F.col("judged.score"), "key_lines": F.col("judged.key_lines")}).drop("judged")
     weak = T.is_weak(F.col("norm"))
     return out.withColumn("weak", weak).withColumn("low", weak | (F.col("score") < LOW_SCORE))
 

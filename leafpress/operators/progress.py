@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafpress.functions import charclass as C
 
@@ -45,9 +49,15 @@ def event(percent: Column, stage: Column) -> Column:
     return F.struct(F.least(F.lit(100), F.greatest(F.lit(0), percent)).alias("percent"), stage.alias("stage"))
 
 
+@F.pandas_udf(T.StringType())
+def ascii_json(text: pd.Series) -> pd.Series:
+    """JSON with its keys in order and everything outside ASCII escaped."""
+    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=True, separators=(",", ":"), sort_keys=True))
+
+
 def event_line(percent: Column, stage: Column, jsonl: bool = False) -> Column:
     e = event(percent, stage)
-    return F.to_json(e) if jsonl else F.format_string("Progress: %d%% %s", e["percent"], e["stage"])
+    return ascii_json(F.to_json(e)) if jsonl else F.format_string("Progress: %d%% %s", e["percent"], e["stage"])
 
 
 def duration(seconds: Column) -> Column:
@@ -65,23 +75,34 @@ def ewma(events: DataFrame, keys: list[str], ts: str = "seconds", counter: str =
     """keys, ts, counter, rate: the smoothed rate after each event, by key, in order of time.
 
     A rate is updated where the counter grows beyond its largest value so far at least LEAST_SECONDS after the last
-    growth; the first rate seeds it. An array of growths per event would grow with the square of the events: the fold
-    runs once over a key's array, then the rates are dealt out.
+    growth; the first rate seeds it. A fold over a key's events, in time and memory in proportion to them.
     """
     rows = F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("s"), F.col(counter).cast("double").alias("c"))))
-    state = "struct<s:double,c:double,rate:double,out:array<struct<s:double,c:double,rate:double>>>"
-
-    def step(a: Column, x: Column) -> Column:
-        grows = a["c"].isNotNull() & (x.c > a["c"])
-        dt = x.s - a["s"]
-        instant = F.when(grows & (dt >= LEAST_SECONDS), (x.c - a["c"]) / dt)
-        rate = F.when(instant.isNull(), a["rate"]).when(a["rate"].isNull(), instant).otherwise(ALPHA * instant + (1 - ALPHA) * a["rate"])
-        moved = a["c"].isNull() | grows
-        return F.struct(F.when(moved, x.s).otherwise(a["s"]).alias("s"), F.when(moved, x.c).otherwise(a["c"]).alias("c"), rate.alias("rate"), F.array_append(a["out"], F.struct(x.s.alias("s"), x.c.alias("c"), rate.alias("rate"))).alias("out")).cast(state)
-
-    start = F.struct(F.lit(None).alias("s"), F.lit(None).alias("c"), F.lit(None).alias("rate"), F.array().alias("out")).cast(state)
-    out = events.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.explode(F.aggregate("rows", start, step)["out"]).alias("x"))
-    return out.select(*keys, F.col("x.s").alias(ts), F.col("x.c").alias(counter), F.col("x.rate").alias("rate"))
+    out = events.groupBy(*keys).agg(rows.alias("rows"))
+    rates = smoothed(F.transform("rows", lambda x: x.s), F.transform("rows", lambda x: x.c))
+    zipped = F.zip_with("rows", rates, lambda x, r: F.struct(x.s.alias("s"), x.c.alias("c"), r.alias("rate")))
+    return out.select(*keys, F.explode(zipped).alias("x")).select(*keys, F.col("x.s").alias(ts), F.col("x.c").alias(counter), F.col("x.rate").alias("rate"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def smoothed(seconds: pd.Series, counters: pd.Series) -> pd.Series:
+    """The smoothed rate after each event, of arrays in order of time; null until there is one."""
+
+    def one(s, c) -> list[float | None]:
+        at, most, rate, out = None, None, None, []
+        for x, n in zip(s, c, strict=True):
+            n = None if n is None or n != n else n
+            if most is None:
+                at, most = x, n
+            elif n is not None and n > most:
+                if x - at >= LEAST_SECONDS:
+                    now = (n - most) / (x - at)
+                    rate = now if rate is None else ALPHA * now + (1 - ALPHA) * rate
+                at, most = x, n
+            out.append(rate)
+        return out
+
+    return pd.Series([one(s, c) for s, c in zip(seconds, counters, strict=True)])
 
 
 def eta(events: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 from pathlib import Path
 
+from leafpress.functions.text import CLASSICAL_AGGRESSIVE, CLASSICAL_SAFE
+
 #: The options, their defaults and choices.
 DEFAULTS: dict[str, object] = {
     "output": None, "output_dir": None, "force": False, "ocr_mode": "off", "ocr_engine": "tesseract", "ocr_layout": "auto", "zh_script": "keep",
@@ -96,6 +98,10 @@ def profile_values(config: dict, name: str | None = None) -> dict:
     return out
 
 
+def env_profile(prefix: str = "LEAFPRESS_", env: dict | None = None) -> str | None:
+    return (os.environ if env is None else env).get(prefix + "PROFILE") or None
+
+
 def env_values(prefix: str = "LEAFPRESS_", env: dict | None = None) -> dict:
     env = os.environ if env is None else env
     return {k: checked(k, env[prefix + k.upper()]) for k in DEFAULTS if prefix + k.upper() in env}
@@ -117,8 +123,8 @@ class ConvertOptions:
     max_pages: int | None = None
     restart_numbers: bool = False
     force: bool = False
-    safe_rules: tuple[tuple[str, str], ...] = field(default=())
-    aggressive_rules: tuple[tuple[str, str], ...] = field(default=())
+    safe_rules: tuple[tuple[str, str], ...] = CLASSICAL_SAFE
+    aggressive_rules: tuple[tuple[str, str], ...] = CLASSICAL_AGGRESSIVE
 
     def __post_init__(self):
         for f in fields(self):

@@ -121,7 +121,9 @@ def f14_recommend(spark, sf_dir):
 
 @query(f"{_LINES} SELECT doc_id, min(line_no) AS line_no, line FROM page WHERE NOT {_NOISE} GROUP BY doc_id, line")
 def d2_exact_dedupe(spark, sf_dir):
-    return lines(spark, sf_dir).filter(~T.is_noise(F.col("line"))).groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no"))
+    # noise as an aggregate: a filter would evaluate its shared parts anew at each mention
+    out = lines(spark, sf_dir).groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no"), F.bool_or(T.is_noise(F.col("line"))).alias("noise"))
+    return out.filter(~F.col("noise")).drop("noise")
 
 
 @query(f"""{_LINES}, f AS (SELECT doc_id, min(line_no) AS line_no, line FROM page WHERE NOT {_NOISE} GROUP BY doc_id, line)
