@@ -11,6 +11,8 @@ from pathlib import Path
 from leafpress.plans import options as O
 
 CONFIG = "leafpress.json"
+#: How a page of an input becomes an image, by kind of input ("pdf", "text"); without an entry Poppler does it.
+RASTERS: dict = {}
 FLAGS = {
     "output": "-o", "output_dir": "--output-dir", "ocr_mode": "--ocr", "ocr_engine": "--ocr-engine", "ocr_layout": "--ocr-layout", "zh_script": "--zh-script",
     "split_preset": "--split-preset", "split_every": "--split-every", "workers": "--workers",
@@ -55,29 +57,48 @@ def effective(args: argparse.Namespace) -> tuple[dict, dict]:
     given = {k: O.checked(k, getattr(args, k)) for k in O.DEFAULTS if getattr(args, k, None) is not None}
     if args.ocr_fallback:
         given.setdefault("ocr_mode", "auto")
-    return O.layered(given, O.env_values(), O.profile_values(O.read_config(args.path), args.profile))
+    return O.layered(given, O.env_values(), O.profile_values(O.read_config(args.path), args.profile or O.env_profile()))
 
 
 def convert(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
 
     from leafpress.plans import engine
+    from leafpress.sources import ocr_engines as E
     from leafpress.sources import pdf, sinks
 
     values, _ = effective(args)
     chosen = O.ConvertOptions(ocr_profile=args.ocr_profile, max_pages=args.max_pages, **{k: v for k, v in values.items() if k in O.ConvertOptions.__dataclass_fields__})
+    if values["output"] and len(args.inputs) > 1:
+        raise O.OptionError("--output names one file; use --output-dir for several inputs.")
     begin = time.monotonic()
     spark = SparkSession.builder.appName("leafpress").getOrCreate()
     files = spark.createDataFrame([(Path(x).resolve().as_uri(),) for x in args.inputs], "path string")
-    adapter = pdf.text_adapter if all(x.lower().endswith(".txt") for x in args.inputs) else pdf.default_adapter
-    pages = pdf.pages(spark, files, adapter, args.max_pages).cache()
+    plain = all(x.lower().endswith(".txt") for x in args.inputs)
+    adapter = pdf.text_adapter if plain else pdf.default_adapter
+    ocr = None
+    if chosen.ocr_mode != "off":
+        raster = RASTERS.get("text" if plain else "pdf", E.poppler)
+        if (why := E.missing(chosen.ocr_engine, raster)) is None:
+            ocr = E.ocr_pass(pdf.contents(spark, files), chosen.ocr_engine, chosen.ocr_layout, raster, chosen.ocr_mode == "strict")
+        elif chosen.ocr_mode == "strict":
+            raise RuntimeError(why)
+        else:
+            print(f"{why} The native text stays.", file=sys.stderr)
+    pages = pdf.pages(spark, files, adapter, args.max_pages, values["workers"]).cache()
     errors = pages.filter("error IS NOT NULL").select("doc_id", "error").collect()
     for r in errors:
         print(f"{r.doc_id}: {r.error}", file=sys.stderr)
-    done = engine.to_markdown(engine.converted(pages.filter("error IS NULL"), chosen), chosen)
-    out = sinks.write_markdown(sinks.named(done, chosen.every is not None), values["output_dir"] or ".", chosen.force)
+    done = engine.to_markdown(engine.converted(pages.filter("error IS NULL"), chosen, ocr=ocr), chosen)
+    folder, name = values["output_dir"], None
+    if values["output"]:
+        folder, name = str(Path(values["output"]).parent), Path(values["output"]).name
+    elif folder is None and len(args.inputs) == 1:
+        folder, name = sinks.default_output(args.inputs[0])
+    folder = folder or "."
+    out = sinks.write_markdown(sinks.named(done, chosen.every is not None, name), folder, chosen.force)
     print("\n".join(out))
-    print(sinks.performance_report("native", values["output_dir"] or ".", pages.count(), {"total": time.monotonic() - begin}), file=sys.stderr)
+    print(sinks.performance_report("native" if ocr is None else "ocr", folder, pages.count(), {"total": time.monotonic() - begin}), file=sys.stderr)
     return int(bool(errors))
 
 

@@ -60,9 +60,9 @@ def listed(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") ->
     return out.orderBy(F.lower(F.substring_index("path", "/", -1)), "path")
 
 
-def pages(spark: SparkSession, files: DataFrame, adapter: Adapter = default_adapter, max_pages: int | None = None) -> DataFrame:
+def pages(spark: SparkSession, files: DataFrame, adapter: Adapter = default_adapter, max_pages: int | None = None, workers: int | None = None) -> DataFrame:
     """(doc_id, page_no, text, error) of files (path). A file that can't be read gives one row with its error; an empty
-    document has page 1 with an empty text. One file is one task's work at a time."""
+    document has page 1 with an empty text. One file is one task's work at a time; workers: so many tasks."""
     paths = [r.path for r in files.select("path").collect()]  # a listing: names, not contents
     schema = "doc_id string, page_no int, text string, error string"
     if not paths:
@@ -77,10 +77,18 @@ def pages(spark: SparkSession, files: DataFrame, adapter: Adapter = default_adap
                 except Exception as e:
                     yield pd.DataFrame({"doc_id": [path], "page_no": [1], "text": [""], "error": [f"{type(e).__name__}: {e}"]})
 
-    read = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
-    missing = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("doc_id")).join(read.select("doc_id").distinct(), "doc_id", "left_anti")
+    found = spark.read.format("binaryFile").load(paths)  # without empty files
+    read = found.select("path", "content")
+    read = (read.repartition(workers) if workers else read).mapInPandas(run, schema)
+    missing = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("doc_id")).join(found.select(F.col("path").alias("doc_id")), "doc_id", "left_anti")
     return read.unionByName(missing.select("doc_id", F.lit(1).alias("page_no"), F.lit("").alias("text"), F.lit("ValueError: empty file").alias("error")))
 
 
+def contents(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(doc_id, content) of files (path)."""
+    paths = [r.path for r in files.select("path").collect()]
+    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("doc_id"), "content")
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.greatest(F.lit(1), F.max("page_no")).alias("page_count"))
