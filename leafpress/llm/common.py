@@ -49,6 +49,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that have ended: it does so when the driver's garbage is collected, which
+    may otherwise be long after the tables made from them are written."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: The column of tags, and its type: a file's hash and the row's place in it.
 ROW, ROW_TYPE = "__row", "struct<f:long,i:long>"
 #: Nodes of a plan over one Parquet scan that give each of its rows once at most.

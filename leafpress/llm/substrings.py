@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from leafpress.llm.common import ROW, ROW_TYPE, tagged, written
+from leafpress.llm.common import ROW, ROW_TYPE, tagged, tidy, written
 
 WINDOW = 50
 BLOCK = 25
@@ -255,12 +255,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = hits(probes(docs, max(64, size // (6 * BUCKET_WORDS))))
     listed = lambda df: df.groupBy("row").agg(F.collect_list("at").alias("ats"))  # noqa: E731  at most a document's words
-    seen = written(contexts(with_texts(docs, written(listed(found), "sub-hits"), "inner")), "sub-contexts")
+    hit_lists = written(listed(found), "sub-hits")
+    tidy(docs.sparkSession)  # the probes' shuffle is twice the input
+    seen = written(contexts(with_texts(docs, hit_lists, "inner")), "sub-contexts")
     # written, so that the join's sides are plain exchanges and Spark can split the partition of a frequent context
     least = written(seen.groupBy("context").agg(F.min("id").alias("least")), "sub-least")
     seen = written(seen.join(least, "context").select("row", "at", (F.col("least") < F.col("id")).alias("whole")), "sub-classes")
+    tidy(docs.sparkSession)
     rest = written(listed(seen.filter(~F.col("whole"))), "sub-rest")
     single = written(windows(with_texts(docs, rest, "inner")), "sub-windows")
+    tidy(docs.sparkSession)
     least = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter(F.col("least") < F.col("most"))
     least = written(least.select("window", "least"), "sub-least-windows")
     single = single.join(least, "window").filter(F.col("least") < F.col("id")).select("row", F.col("at").alias("b"), (F.col("at") + WINDOW).alias("e"))
