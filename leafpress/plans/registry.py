@@ -15,6 +15,7 @@ from leafpress.functions import text as T
 from leafpress.operators import ocr, progress
 from leafpress.operators import pages as P
 from leafpress.plans import options
+from leafpress.sources import pdf
 
 QUERIES, SQL = {}, {}
 
@@ -173,8 +174,8 @@ def j2_ocr_merge(spark, sf_dir):
 def a1_counts(spark, sf_dir):
     p = pages(spark, sf_dir)
     d = degraded(p)
-    half = P.layout_merge(d, p.filter("page_no % 2 = 0"))
-    return P.routing_summary(d, half, P.ocr_merge(half.drop("assisted"), p))
+    assisted = P.layout_merge(d, p)
+    return P.routing_summary(d, assisted, P.ocr_merge(assisted.drop("assisted"), p))
 
 
 @query("""SELECT * FROM (VALUES ('tesseract', 'auto', 0.08, 0.20, 0.10), ('tesseract', 'vertical', 0.05, 0.18, 0.10), ('tesseract', 'horizontal', 0.09, 0.20, 0.10),
@@ -196,11 +197,13 @@ def w1_windows(spark, sf_dir):
     return P.fixed_windows(pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("page_count")))
 
 
-@query(f"""{_PAGES}, s AS (SELECT DISTINCT doc_id, page_no FROM pages WHERE (doc_id + page_no) % 4 <> 0), r AS (SELECT *, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS run FROM s),
-c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY page_no) - 1) // 2 AS part FROM r)
+@query(f"""{_PAGES}, d AS (SELECT doc_id, page_no, CASE WHEN (doc_id + page_no) % 3 = 0 THEN text ELSE '' END AS text FROM pages), s AS (SELECT DISTINCT doc_id, page_no FROM d WHERE {_WEAK}),
+r AS (SELECT *, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS run FROM s), c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY page_no) - 1) // 2 AS part FROM r)
 SELECT doc_id, min(page_no)::INTEGER AS start_page, max(page_no)::INTEGER AS end_page FROM c GROUP BY doc_id, run, part""")
 def w2_islands(spark, sf_dir):
-    return P.selected_windows(pages(spark, sf_dir).filter("(doc_id + page_no) % 4 <> 0"))
+    """The windows of weak pages; two of three pages have lost their text."""
+    some = pages(spark, sf_dir).withColumn("text", F.when((F.col("doc_id") + F.col("page_no")) % 3 == 0, F.col("text")).otherwise(""))
+    return P.selected_windows(some.filter(T.is_weak(F.col("text"))))
 
 
 _MD = rf"'# Page ' || page_no || CASE WHEN regexp_replace(text, '{_S}+$', '') = '' THEN '' ELSE chr(10) || chr(10) || regexp_replace(text, '{_S}+$', '') END"
@@ -239,7 +242,7 @@ def p14_postprocess(spark, sf_dir):
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("p", "text"))
+    w = documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("p", "text"))
     p, n = F.col("p"), F.length("text")
     return w.select(
         "doc_id", F.lit(1).alias("page_no"), F.floor(p / 80).cast("int").alias("block_no"), F.floor(p / 8).cast("int").alias("line_no"), (p % 8).cast("int").alias("word_no"), "text",
@@ -247,7 +250,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS = """WITH x AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS a FROM documents),
+_WORDS = r"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS a FROM documents),
 y AS (SELECT doc_id, unnest(a) AS text, generate_subscripts(a, 1) - 1 AS p FROM x),
 words AS (SELECT doc_id, 1 AS page_no, p // 80 AS block_no, p // 8 AS line_no, p % 8 AS word_no, text, (10 + (length(text) * 13 + p * 7) % 90)::DOUBLE AS conf, p % 8 * 60 AS l, p // 8 * 20 AS t, p % 8 * 60 + length(text) * 5 AS r, p // 8 * 20 + 12 AS b FROM y),
 lines AS (SELECT doc_id, block_no::INTEGER AS block_no, line_no::INTEGER AS line_no, string_agg(text, ' ' ORDER BY l, word_no) AS text, avg(conf) AS conf, min(l)::INTEGER AS l, min(t)::INTEGER AS t, max(r)::INTEGER AS r, max(b)::INTEGER AS b FROM words GROUP BY doc_id, block_no, line_no)
@@ -320,11 +323,11 @@ def d4_cluster(spark, sf_dir):
     return out.select("doc_id", F.size("x").alias("n"), F.array_join(F.transform("x", lambda v: v.text), " ").alias("texts"))
 
 
-@query("""WITH a AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS attempt, text FROM documents), s AS (SELECT doc_id, attempt, substr(text, 1 + attempt, 40) AS text, ((length(text) + attempt * 7) % 11)::DOUBLE AS score FROM a)
+@query("""WITH a AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS attempt, text FROM documents), s AS (SELECT doc_id, attempt, substr(text, 1 + attempt) AS text, ((length(text) + attempt * 7) % 11)::DOUBLE AS score FROM a)
 SELECT doc_id, text, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, attempt) AS k FROM s) WHERE k = 1""")
 def a8_best_attempt(spark, sf_dir):
     a = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.array(*map(F.lit, range(4)))).alias("attempt"))
-    a = a.select("doc_id", F.lit(1).alias("page_no"), "attempt", F.col("text").substr(1 + F.col("attempt"), F.lit(40)).alias("text"), ((F.length("text") + F.col("attempt") * 7) % 11).cast("double").alias("score"))
+    a = a.select("doc_id", F.lit(1).alias("page_no"), "attempt", F.col("text").substr(1 + F.col("attempt"), F.length("text")).alias("text"), ((F.length("text") + F.col("attempt") * 7) % 11).cast("double").alias("score"))
     return ocr.best_attempts(a).drop("page_no")
 
 
@@ -391,3 +394,61 @@ def a11_rates(spark, sf_dir):
 def a12_outcome(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return progress.batch_outcome(t.select("doc_id", (1 - F.col("quality")).alias("exit_code")))
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS run_id, epoch_us(ts) / 1e6 AS seconds, event_id % 101 AS percent FROM events), x AS (SELECT *, seconds - min(seconds) OVER (PARTITION BY run_id) AS elapsed FROM e)
+SELECT event_id, round(elapsed, 6) AS elapsed, round(CASE WHEN percent > 0 THEN elapsed * (100 - percent) / percent END, 6) AS eta FROM x""")
+def w8_eta(spark, sf_dir):
+    e = counted(spark, sf_dir).select(F.col("counter").cast("long").alias("event_id"), F.col("user_id").alias("run_id"), "seconds", (F.col("counter").cast("long") % 101).alias("percent"))
+    return progress.eta(e).select("event_id", F.round("elapsed", 6).alias("elapsed"), F.round("eta", 6).alias("eta"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN event_id % 3 = 0 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM events""")
+def p22_bonus(spark, sf_dir):
+    e, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    return e.select("event_id", T.variant_bonus(F.when(i % 4 == 0, "kor+eng").otherwise("eng"), (4 + i % 3).cast("int")).alias("bonus"))
+
+
+@query(f"""{_EVENTS} SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Conversion failed: Encrypted PDF detected. Decrypt the PDF with the correct password and retry.'
+WHEN 1 THEN 'Conversion failed: Corrupt PDF detected. Re-export or repair the PDF file, then retry.' ELSE 'Conversion failed: ' || message END AS said FROM e""")
+def p28_message(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 3 == 0, "encrypted").when(F.col("event_id") % 3 == 1, "corrupt")
+    return messages(spark, sf_dir).select("event_id", T.failure_message(kind, F.col("message")).alias("said"))
+
+
+@query(f"{_WORDS} SELECT doc_id, line_no::INTEGER AS line_no, word_no::INTEGER AS word_no, (l + r) / 2.0::DOUBLE AS cx, (t + b) / 2.0::DOUBLE AS cy, (r - l)::INTEGER AS w, (b - t)::INTEGER AS h FROM words")
+def p18_box(spark, sf_dir):
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    points = F.array(corner("l", "t"), corner("r", "t"), corner("r", "b"), corner("l", "b"))
+    return words(spark, sf_dir).select("doc_id", "line_no", "word_no", T.box(points).alias("x")).select("doc_id", "line_no", "word_no", "x.*")
+
+
+@query(f"""{_WORDS} SELECT a.doc_id, a.line_no::INTEGER AS line_no, a.word_no::INTEGER AS word_no, abs((a.l + a.r) / 2.0 - ((b.l + b.r) / 2.0 + 40)) <= greatest(8.0, 0.5 * least(a.r - a.l, b.r - b.l)) AS near
+FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.word_no = a.word_no - 1""")
+def f9_same_region(spark, sf_dir):
+    w = words(spark, sf_dir)
+    own = lambda d: F.struct(((F.col("l") + F.col("r")) / 2 + d).alias("cx"), ((F.col("t") + F.col("b")) / 2).alias("cy"), (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h"))
+    a, b = w.select("doc_id", "line_no", "word_no", own(0).alias("x")), w.select("doc_id", "line_no", (F.col("word_no") + 1).alias("word_no"), own(40).alias("y"))
+    return a.join(b, ["doc_id", "line_no", "word_no"]).select("doc_id", "line_no", "word_no", T.same_region(F.col("x"), F.col("y")).alias("near"))
+
+
+@query(f"{_WORDS} SELECT doc_id, line_no::INTEGER AS line_no, word_no::INTEGER AS word_no, round(conf / 100.0 * CASE WHEN length(text) <= 3 THEN 0.3 ELSE 1.0 END * CASE WHEN length(text) = 1 THEN 0.2 ELSE 1.0 END, 9) AS quality FROM words")
+def p20_line_quality(spark, sf_dir):
+    return words(spark, sf_dir).select("doc_id", "line_no", "word_no", F.round(T.line_quality(F.col("text"), F.col("conf")), 9).alias("quality"))
+
+
+@query("SELECT event_id, event_type || CASE WHEN event_id % 2 = 0 THEN '' ELSE '.x' END AS base FROM events")
+def k7_chunk_base(spark, sf_dir):
+    i = F.col("event_id")
+    end = F.when(i % 4 == 0, ".md").when(i % 4 == 1, ".x.md").when(i % 4 == 2, ".MD").otherwise(".x")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", P.chunk_base(F.concat("event_type", end)).alias("base"))
+
+
+@query(f"{_PAGES} SELECT doc_id, page_no::INTEGER AS page_no, text FROM pages UNION ALL SELECT DISTINCT doc_id, 1, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pages)")
+def s2_complete(spark, sf_dir):
+    return P.complete(documents(spark, sf_dir), pages(spark, sf_dir))
+
+
+@query(f"{_PAGES} SELECT doc_id, max(page_no)::INTEGER AS page_count FROM pages GROUP BY doc_id")
+def s4_page_counts(spark, sf_dir):
+    return pdf.page_counts(pages(spark, sf_dir))
