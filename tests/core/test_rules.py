@@ -46,6 +46,14 @@ def test_bounds_never_change_similarity():
             assert L.alike(a, b, of, 0.8) == (SequenceMatcher(None, x, y).ratio() >= 0.8)
 
 
+def test_patterns_equal_the_classes():
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x30000))):
+        assert (L.NO_ALNUM.sub("", c) != "") == (L.is_cjk(c) or c.isalnum()), hex(ord(c))
+        assert bool(L.CJK.match(c)) == L.is_cjk(c) and bool(L.LATIN.match(c)) == L.is_latin(c), hex(ord(c))
+        assert L.visible(c) == (not c.isspace())
+    assert not any(c.isalnum() and c.isspace() for c in map(chr, range(0x30000)))
+
+
 def test_one_pass_equals_two():
     rng = random.Random(6)
     for _ in range(300):
