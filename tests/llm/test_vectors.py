@@ -34,3 +34,19 @@ def test_few_and_none(spark):
     assert [(r.query_id, r.rank, r.id) for r in vectors.search(df, df).orderBy("query_id").collect()] == [(0, 1, 50), (50, 1, 0)]
     assert vectors.search(df.limit(0), df).count() == 0
     assert vectors.search(df, df.limit(0)).count() == 0
+
+
+def test_strips_hot_ids_and_lengths(spark, monkeypatch):
+    """Several strips and blocks by components; one id that most rows share; vectors of another length; near-equal vectors."""
+    rng = np.random.default_rng(7)
+    for name, value in {"QUERIES": 8, "CANDIDATES": 16, "TILE": 8, "STRIP": 2, "COMPONENTS": 100}.items():
+        monkeypatch.setattr(vectors, name, value)
+    near = rng.normal(size=12)
+    good = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(60)]
+    good += [(100 + i, [float(x) for x in near + rng.normal(size=12) * 1e-9]) for i in range(40)]  # within the bounds' error
+    good += [(1000, [float(x) for x in near])]
+    other = [(2000 + i, [float(x) for x in rng.normal(size=5)]) for i in range(9)]
+    df = spark.createDataFrame(good + [good[-1]] * 300 + other, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.id, r.score) for r in vectors.search(df.filter("vec_id % 4 = 0"), df, k=3).collect())
+    ask = lambda x: [v for v in x if v[0] % 4 == 0]
+    assert got == sorted(brute(ask(good), good, 3) + brute(ask(other), other, 3))
