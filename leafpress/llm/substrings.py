@@ -26,10 +26,12 @@ WINDOW = 50
 BLOCK = 25
 #: Words hashed together by a task, words meant for one bucket of the index, and probes of a bucket held in memory.
 CHUNK, BUCKET_WORDS, HELD = 1_000_000, 1_000_000, 4_000_000
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses
+#: Odd, so powers have inverses. Blocks are told apart by the first hash, contexts and windows by both (128 bits).
+MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 NO_ID = (1 << 63) - 1
 ROW_KIND = np.dtype([("f", "<i8"), ("i", "<i8")])
-RUN = np.dtype([("row", ROW_KIND), ("id", "<i8"), ("at", "<u4"), ("n", "<u4")])
+#: Columns of a run of probes, those of the first three as steps from the run before.
+RUN = [("f", "<i8"), ("i", "<i8"), ("id", "<i8"), ("at", "<u4"), ("n", "<u4")]
 
 
 def rows_of(column: pa.StructArray) -> np.ndarray:
@@ -51,9 +53,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashed:
-    """The words of texts (bytes), one after another, with hashes of any range in constant time."""
+    """The words of texts (bytes), one after another, with hashes of any range in constant time: one for each multiplier."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], multipliers: list[np.uint64] = MULTIPLIERS):
         words = [t.split() for t in texts]
         self.size = np.array([len(w) for w in words], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
@@ -61,13 +63,14 @@ class Hashed:
         h = np.empty(n, np.uint64)
         for w, at in zip(words, self.begin.tolist(), strict=False):
             h[at : at + len(w)] = np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w))
-        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, MULTIPLIER)]))
-        inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-        self.inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse)]))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
+        powers = lambda m: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, m)]))
+        self.parts = []
+        for m in multipliers:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(m)[:n], dtype=np.uint64)])
+            self.parts.append((sums, powers(np.uint64(pow(int(m), -1, 1 << 64)))))
 
-    def ranges(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[high] - self.sums[low]) * self.inverse[low])
+    def ranges(self, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+        return [mixed((sums[high] - sums[low]) * inverse[low]) for sums, inverse in self.parts]
 
     def starts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, text) of every start of so many words within one text."""
@@ -89,29 +92,43 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: high bytes are mostly zero, so that shuffles compress them."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(-1)
+
+
 def pack(row: np.ndarray, ids: np.ndarray, at: np.ndarray, h: np.ndarray) -> bytes:
     """Probes in order of their place as bytes: runs of one document (its row, id, first place, number), then for each probe
-    the low 48 bits of its hash and the step from the place before it."""
+    the low 48 bits of its hash and the step from the place before it. Numbers that follow one another are near, so of
+    runs' tags and ids the differences are kept, by planes of bytes."""
     step = np.diff(at, prepend=at[:1])
     new = np.concatenate([[True], row[1:] != row[:-1]]) | (step > 0xFFFF) | (step < 0)
     first = np.nonzero(new)[0]
-    runs = np.empty(len(first), RUN)
-    runs["row"], runs["id"], runs["at"] = row[first], ids[first], at[first]
-    runs["n"] = np.diff(np.concatenate([first, [len(row)]]))
+    change = lambda x: np.diff(x[first], prepend=np.int64(0))  # noqa: E731  wraps around, and back in unpack
+    runs = [change(row["f"]), change(row["i"]), change(ids), at[first], np.diff(np.concatenate([first, [len(row)]]))]
     step = np.where(new, 0, step)
-    return len(runs).to_bytes(4, "little") + runs.tobytes() + h.astype("<u4").tobytes() + (h >> np.uint64(32)).astype("<u2").tobytes() + step.astype("<u2").tobytes()
+    out = [planes(x.astype(kind)) for x, (_, kind) in zip(runs, RUN, strict=True)]
+    return b"".join([len(first).to_bytes(4, "little"), *out, h.astype("<u4").tobytes(), (h >> np.uint64(32)).astype("<u2").tobytes(), planes(step.astype("<u2"))])
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:4], "little")
-    runs = np.frombuffer(data, RUN, n, 4)
+    n, at, runs = int.from_bytes(data[:4], "little"), 4, {}
+    for name, kind in RUN:
+        runs[name] = unplanes(data, kind, n, at)
+        at += n * np.dtype(kind).itemsize
     m = int(runs["n"].sum())
-    at = 4 + n * RUN.itemsize
+    rows = np.empty(n, ROW_KIND)
+    rows["f"], rows["i"], ids = (np.cumsum(runs[k]) for k in ("f", "i", "id"))
     h = np.frombuffer(data, "<u4", m, at).astype(np.uint64) | np.frombuffer(data, "<u2", m, at + 4 * m).astype(np.uint64) << np.uint64(32)
-    step = np.cumsum(np.frombuffer(data, "<u2", m, at + 6 * m), dtype=np.int64)
+    step = np.cumsum(unplanes(data, "<u2", m, at + 6 * m), dtype=np.int64)
     first = np.repeat(np.cumsum(runs["n"], dtype=np.int64) - runs["n"], runs["n"])
     place = np.repeat(runs["at"].astype(np.int64), runs["n"]) + step - step[first]
-    return np.repeat(runs["row"], runs["n"]), np.repeat(runs["id"], runs["n"]), place, h
+    return np.repeat(rows, runs["n"]), np.repeat(ids, runs["n"]), place, h
 
 
 def probes(docs: DataFrame, buckets: int) -> DataFrame:
@@ -121,13 +138,13 @@ def probes(docs: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             texts, rows, ids = b.column("text").to_pylist(), rows_of(b.column("row")), b.column("id").to_numpy()
             for lo, hi in groups(texts):
-                x = Hashed(texts[lo:hi])
+                x = Hashed(texts[lo:hi], MULTIPLIERS[:1])
                 place, owner = x.starts(BLOCK)
                 keep = x.size[owner] >= WINDOW
                 place, owner = place[keep], owner[keep]
                 if not len(place):
                     continue
-                h = x.ranges(place, place + BLOCK)
+                h = x.ranges(place, place + BLOCK)[0]
                 bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32) if buckets <= 1 << 16 else (h >> np.uint64(16)).astype(np.int64) % buckets
                 order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
                 bucket, place, owner, h = bucket[order], place[order], owner[order], h[order]
@@ -209,7 +226,7 @@ def with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(row, id, at, context) of docs with their hits (ats): a hash of the BLOCK words before, in and after each."""
+    """(row, id, at, context, more) of docs with their hits (ats): two hashes of the BLOCK words before, in and after each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,14 +238,15 @@ def contexts(docs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
                 left, right = np.minimum(at, BLOCK), np.minimum(x.size[owner] - at, 2 * BLOCK)
                 place = x.begin[owner] + at
-                c = mixed(x.ranges(place - left, place + right) + left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([tags_of(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array(at.astype(np.int32)), pa.array(c.view(np.int64))], ["row", "id", "at", "context"])
+                ends = left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64)
+                c = [pa.array(mixed(h + ends).view(np.int64)) for h in x.ranges(place - left, place + right)]
+                yield pa.RecordBatch.from_arrays([tags_of(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array(at.astype(np.int32)), *c], ["row", "id", "at", "context", "more"])
 
-    return docs.mapInArrow(run, f"row {ROW_TYPE}, id long, at int, context long")
+    return docs.mapInArrow(run, f"row {ROW_TYPE}, id long, at int, context long, more long")
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(window, row, id, at) of docs with hits (ats): a hash of every window through a hit."""
+    """(window, more, row, id, at) of docs with hits (ats): two hashes of every window through a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,10 +261,10 @@ def windows(docs: DataFrame) -> DataFrame:
                 ok = (every >= 0) & (every + WINDOW <= x.size[owner])
                 place = np.unique(x.begin[owner[ok]] + every[ok])
                 owner = np.searchsorted(x.begin, place, "right") - 1
-                h = x.ranges(place, place + WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), tags_of(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array((place - x.begin[owner]).astype(np.int32))], ["window", "row", "id", "at"])
+                h = [pa.array(h.view(np.int64)) for h in x.ranges(place, place + WINDOW)]
+                yield pa.RecordBatch.from_arrays([*h, tags_of(rows[lo + owner]), pa.array(ids[lo + owner]), pa.array((place - x.begin[owner]).astype(np.int32))], ["window", "more", "row", "id", "at"])
 
-    return docs.mapInArrow(run, f"window long, row {ROW_TYPE}, id long, at int")
+    return docs.mapInArrow(run, f"window long, more long, row {ROW_TYPE}, id long, at int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -259,15 +277,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     tidy(docs.sparkSession)  # the probes' shuffle is twice the input
     seen = written(contexts(with_texts(docs, hit_lists, "inner")), "sub-contexts")
     # written, so that the join's sides are plain exchanges and Spark can split the partition of a frequent context
-    least = written(seen.groupBy("context").agg(F.min("id").alias("least")), "sub-least")
-    seen = written(seen.join(least, "context").select("row", "at", (F.col("least") < F.col("id")).alias("whole")), "sub-classes")
+    least = written(seen.groupBy("context", "more").agg(F.min("id").alias("least")), "sub-least")
+    seen = written(seen.join(least, ["context", "more"]).select("row", "at", (F.col("least") < F.col("id")).alias("whole")), "sub-classes")
     tidy(docs.sparkSession)
     rest = written(listed(seen.filter(~F.col("whole"))), "sub-rest")
     single = written(windows(with_texts(docs, rest, "inner")), "sub-windows")
     tidy(docs.sparkSession)
-    least = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter(F.col("least") < F.col("most"))
-    least = written(least.select("window", "least"), "sub-least-windows")
-    single = single.join(least, "window").filter(F.col("least") < F.col("id")).select("row", F.col("at").alias("b"), (F.col("at") + WINDOW).alias("e"))
+    least = single.groupBy("window", "more").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter(F.col("least") < F.col("most"))
+    least = written(least.select("window", "more", "least"), "sub-least-windows")
+    single = single.join(least, ["window", "more"]).filter(F.col("least") < F.col("id")).select("row", F.col("at").alias("b"), (F.col("at") + WINDOW).alias("e"))
     whole = seen.filter("whole").select("row", F.greatest(F.col("at") - BLOCK, F.lit(0)).alias("b"), (F.col("at") + 2 * BLOCK).alias("e"))
     ranges = whole.union(single).select("row", (F.shiftleft(F.col("b").cast("long"), 32) + F.col("e")).alias("at"))
     return ranges.groupBy("row").agg(F.collect_list("at").alias("ats"))
