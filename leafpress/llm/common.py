@@ -16,6 +16,9 @@ SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 #: The most rows of a narrow table (ids, hashes, counts; under 100 bytes a row) that may be broadcast; of tags of dropped rows.
 BROADCAST_ROWS, BROADCAST_TAGS = 200_000, 2_000_000
 
+#: Spark's setting by which an execution's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (unset, as in tests) a local one.
@@ -43,16 +46,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once, its lineage is cut, and it outlives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """df as a table in the shared folder: it is computed once, its lineage is cut, and it outlives lost executors.
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps that have ended: it does so when the driver's garbage is collected, which
-    may otherwise be long after the tables made from them are written."""
-    spark.sparkContext._jvm.System.gc()
+    Spark removes the shuffle files of the write when it has ended; without that they stay until the driver's garbage is
+    collected. Nothing reads them later: every execution of a plan makes its own.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, label), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: The column of tags, and its type: a file's hash and the row's place in it.
