@@ -28,7 +28,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word Jaccard similarity of at least 0.8, the one with the smallest id stays."""
+    """Of documents linked by five-word Jaccard similarity of at least 0.8, the one with the smallest id stays; SimHash with Golay codewords proposes them."""
     return near.deduplicate(docs)
 
 

@@ -1,16 +1,20 @@
-"""Near-dedup of whole texts by the Jaccard similarity of their five-word shingles.
+"""Near-dedup of whole texts by the Jaccard similarity of their five-word shingles: SimHash with Golay-code fuzzy hashing
+proposes, exact similarity decides.
 
-MinHash bands propose, exact similarity decides: two texts meet if all ROWS values of one of BANDS bands agree, which
-texts of similarity 0.8 miss with probability (1 - 0.8^5)^24, below 1 in 10,000. SimHash with Golay keys (see simhash)
-can't propose them: at 0.8, fingerprints of 64 bits differ in up to 17 bits (README).
+64 bits don't tell texts of similarity 0.8, whose fingerprints differ in up to 17 of them (README), so the SimHash of a text's
+distinct shingles is taken as wide as SEGMENTS segments of 23 bits. Each segment goes to the nearest codeword of the perfect
+Golay code [23, 12, 7] (see simhash); texts that share a segment's codeword meet, and of those the ones whose first 128 bits
+differ in at most FAR bits are candidates. At similarity 0.8 bits differ with probability 0.15 and codewords agree with
+0.12, so texts miss each other with probability (1 - 0.12)^80, below 1 in 10,000.
 
-Of those that meet, only pairs that may be similar leave the join: each text has a map of BITS bits, one set for each
+Of the candidates, only pairs that may be similar are compared: each text has a map of BITS bits, one set for each
 shingle, and a bit that one text has and the other has not is a shingle that they don't share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice, repeat
 
 import numpy as np
@@ -21,16 +25,23 @@ from xxhash import xxh64_intdigest
 
 from leafpress.llm.common import ROW, ROW_TYPE, small, tagged, written
 from leafpress.llm.components import components
+from leafpress.llm.simhash import golay_tables
 
 WORDS, LEAST = 5, 0.8
-BANDS, ROWS, CHUNK = 24, 5, 512
+#: Segments of a fingerprint and the 64-bit words that hold them; hashes that are summed at once, in lanes of a byte.
+SEGMENTS, SEGMENT = 80, 23
+PRINT, LANE = -(-SEGMENTS * SEGMENT // 64), 255
+#: The most of a candidate's first 128 bits that differ: at similarity 0.8 it is 19, give or take 4.
+FAR = 44
 #: Bits of a text's map of shingles, in longs.
 BITS, LONGS = 1024, 16
-#: Texts of a key beyond which they are first compared with a centre; parts that a centre's pairs are dealt to.
+#: Texts of a codeword beyond which they are first compared with a centre; parts that a centre's pairs are dealt to.
 CROWD, PARTS = 100, 64
 _rng = np.random.default_rng(42)
-XORS, ODDS = (_rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
+XORS, ODDS, MORE = (_rng.integers(0, 1 << 64, PRINT, np.uint64) for _ in range(3))
 ODDS |= np.uint64(1)
+MORE |= np.uint64(1)
+tables = cache(golay_tables)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -42,18 +53,31 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, runs, repeat(42)), np.uint64, max(1, len(w) - WORDS + 1)))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of a set of hashes; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        np.minimum(least, ((hashes[None, at : at + CHUNK] ^ XORS) * ODDS).min(1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = (key ^ column) * ODDS[0, 0]
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The bits (PRINT * 64) of the SimHash of a set of hashes, sorted and not empty: 1 if set in over half of them.
+
+    Where just half have it, a word's 64 bits go by its least hash, which similar sets share.
+    """
+    counts, least = np.zeros((8, PRINT * 8), np.int64), np.full(PRINT, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), LANE):
+        x = (hashes[at : at + LANE, None] ^ XORS) * ODDS
+        x ^= x >> np.uint64(32)
+        x *= MORE
+        x ^= x >> np.uint64(32)
+        np.minimum(least, x.min(0), out=least)
+        for bit in range(8):
+            counts[bit] += ((x >> np.uint64(bit)) & np.uint64(0x0101010101010101)).sum(0).view(np.uint8)
+    least *= ODDS
+    least ^= least >> np.uint64(32)
+    return counts.T.reshape(-1) * 2 + np.unpackbits(least.view(np.uint8), bitorder="little") > len(hashes)
+
+
+def golay_words(bits: np.ndarray) -> np.ndarray:
+    """For each segment of a fingerprint, its number and the index of the nearest codeword."""
+    low, high, near = tables()
+    cut = bits[: SEGMENTS * SEGMENT].reshape(SEGMENTS, SEGMENT) @ (1 << np.arange(SEGMENT))
+    word = (cut ^ near[low[cut & 0xFFF] ^ high[cut >> 12], 0]) >> 11
+    return (np.arange(SEGMENTS) << 12 | word).astype(np.int32)
 
 
 def bit_map(hashes: np.ndarray) -> np.ndarray:
@@ -72,20 +96,37 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row tag, id, node, keys, size, bits): texts with the same shingles are the same node."""
+    """(row tag, id, node, keys, size, print, bits): texts with the same shingles are the same node. Sets of fewer than four
+    shingles have no keys: no other set is LEAST similar to them."""
     names = [f"b{i}" for i in range(LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int32), np.zeros(2, np.int64)
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column("text")]
-            nodes = np.array([xxh64_intdigest(s.tobytes(), 1) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            maps = np.array([bit_map(s) for s in sets]).reshape(-1, LONGS).T
-            bits = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m)) for m in maps], names)
-            yield pa.RecordBatch.from_arrays([b.column(ROW), b.column("id"), pa.array(nodes), keys, pa.array(list(map(len, sets)), pa.int64()), bits], [ROW, "id", "node", "keys", "size", "bits"])
+            nodes, keys, sizes, prints, maps = [], [], [], [], []
+            for t in b.column("text"):
+                s = shingles(t.as_py())
+                key, first = none
+                if len(s) >= LEAST / (1 - LEAST) - 1e-6:
+                    own = fingerprint(s)
+                    key, first = golay_words(own), np.packbits(own[:128], bitorder="little").view(np.int64)
+                nodes.append(xxh64_intdigest(s.tobytes(), 1))
+                keys.append(key)
+                sizes.append(len(s))
+                prints.append(first)
+                maps.append(bit_map(s))
+            struct = lambda rows, named: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m)) for m in np.array(rows, np.int64).reshape(-1, len(named)).T], named)
+            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), struct(prints, ["p0", "p1"]), struct(maps, names)]
+            yield pa.RecordBatch.from_arrays([b.column(ROW), b.column("id"), *columns], [ROW, "id", "node", "keys", "size", "print", "bits"])
 
     kind = ",".join(f"{n}:long" for n in names)
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"{ROW} {ROW_TYPE}, id long, node long, keys array<long>, size long, bits struct<{kind}>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"{ROW} {ROW_TYPE}, id long, node long, keys array<int>, size long, print struct<p0:long,p1:long>, bits struct<{kind}>")
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether texts (tables a and b: size, p0, p1) are candidates: neither too unlike in size nor in the first 128 bits."""
+    least, most = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    return (least >= most * LEAST - 1e-6) & (sum(F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p0", "p1")) <= FAR)
 
 
 def _may(a: str, b: str) -> Column:
@@ -112,38 +153,53 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): links between nodes that meet and whose similarity is at least LEAST, enough to connect all that such pairs connect.
-
-    In keys of more than CROWD nodes, all are first compared with a centre: the node that meets most others over all
-    keys, as a text does whose edited copies are the group. Those similar to it are connected, so pairs of them aren't
-    looked at. Of the others, as in smaller keys, every pair that may be similar (see _may) is compared.
-    """
-    keys = written(nodes.select("node", F.explode("keys").alias("key")), "near-keys")
-    groups = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-met")
-    keys = written(keys.join(small(groups), "key"), "near-keys")
-    scores = written(keys.groupBy("node").agg(F.sum("n").alias("score")), "near-scores")
-    if scores.isEmpty():
-        return nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    sized = written(nodes.join(small(scores), "node").select("node", "score", "size", "bits", F.col("first_row").alias(ROW)), "near-sized")
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes) of the nodes of pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["node", "hashes"])
 
-    texts = _texts(docs, id_col, text_col).join(small(written(sized.select(ROW, "node"), "near-rows"), tags=True), ROW)
-    sets = written(texts.select("node", "text").mapInArrow(run, "node long, hashes binary"), "near-sets")
-    members = written(keys.join(sized.drop(ROW), "node"), "near-members")
-    crowd = members.filter(F.col("n") > CROWD).select("key", "node", "score")
-    centres = small(written(crowd.groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("a")), "near-centres"))
-    crowd = written(crowd.select("key", "node").join(centres, "key").filter("node <> a"), "near-crowd")
-    stars = crowd.select("a", F.col("node").alias("b"), F.pmod(F.hash("node"), F.lit(PARTS)).alias("part")).distinct()
-    same = written(_similar(written(stars, "near-stars"), sets), "near-links")
-    rest = crowd.join(same, (crowd["a"] == same["a"]) & (crowd["node"] == same["b"]), "left_anti").select("key", "node")
-    left = members.filter(F.col("n") <= CROWD).union(members.join(rest, ["key", "node"], "left_semi")).alias("l")
-    pairs = left.join(members.alias("m"), F.col("l.key") == F.col("m.key")).filter(F.col("l.node") != F.col("m.node")).filter((F.col("l.n") > CROWD) | (F.col("l.node") < F.col("m.node"))).filter(_may("l", "m"))
-    pairs = pairs.select(F.least("l.node", "m.node").alias("a"), F.greatest("l.node", "m.node").alias("b"), F.lit(0).alias("part")).distinct()
-    return same.union(_similar(written(pairs, "near-pairs"), sets))
+    rows = written(_of(nodes, pairs).select(F.col("first_row").alias(ROW), "node"), "near-places")
+    texts = _texts(docs, id_col, text_col).join(small(rows, tags=True), ROW)
+    return written(texts.select("node", "text").mapInArrow(run, "node long, hashes binary"), "near-sets")
+
+
+def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes that pairs (a, b) have."""
+    ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ids")
+    return nodes.join(small(ids), "node", "left_semi")
+
+
+def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): links between nodes that meet and whose similarity is at least LEAST, enough to connect all that such pairs connect.
+
+    Where more than CROWD nodes share a codeword, all are first compared with a centre: the node that meets most others
+    over all such codewords, as a text does whose edited copies are the group. Nodes similar to the same centre are
+    connected, so pairs of them aren't compared. Every other pair that meets and may be similar (see _may) is.
+    """
+    cells = nodes.select("node", "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
+    crowds = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD), "near-crowds")
+    bosses = nodes.select("node", F.col("node").alias("boss"))
+    same = nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if not crowds.isEmpty():
+        scores = written(cells.join(small(crowds), "key").groupBy("node").agg(F.sum("n").alias("score")), "near-scores")
+        scored = written(nodes.join(small(scores), "node").select("node", "score", "size", "print", "keys"), "near-scored")
+        crowd = scored.select("node", "score", "size", "print.p0", "print.p1", F.explode("keys").alias("key")).join(small(crowds), "key", "left_semi")
+        centres = written(crowd.groupBy("key").agg(F.max(F.struct("score", "node", "size", "p0", "p1")).alias("x")).select("key", "x.node", "x.size", "x.p0", "x.p1"), "near-centres")
+        stars = crowd.alias("l").join(small(centres).alias("m"), F.col("l.key") == F.col("m.key")).filter((F.col("l.node") != F.col("m.node")) & _close("l", "m"))
+        stars = written(stars.select(F.col("m.node").alias("a"), F.col("l.node").alias("b")).distinct().withColumn("part", F.pmod(F.hash("b"), F.lit(PARTS))), "near-stars")
+        same = written(_similar(stars, _sets(docs, nodes, stars, id_col, text_col)), "near-links")
+        best = same.join(scored.select(F.col("node").alias("a"), "score"), "a").groupBy("b").agg(F.max(F.struct("score", "a"))["a"].alias("boss"))
+        best = small(written(best, "near-bosses"))
+        bosses = nodes.select("node").join(best, F.col("node") == F.col("b"), "left").select("node", F.coalesce("boss", "node").alias("boss"))
+    cells = written(nodes.select("node", "size", "print", "keys").join(bosses, "node"), "near-cells").select("node", "boss", "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
+    pairs = cells.alias("l").join(cells.alias("m"), F.col("l.key") == F.col("m.key")).filter(F.col("l.node") < F.col("m.node")).filter((F.col("l.boss") != F.col("m.boss")) & _close("l", "m"))
+    pairs = written(pairs.select(F.col("l.node").alias("a"), F.col("m.node").alias("b")).distinct(), "near-met")
+    maps = small(written(_of(nodes, pairs).select("node", F.struct("size", "bits").alias("map")), "near-maps"))
+    pairs = pairs.join(maps.select(F.col("node").alias("a"), F.col("map").alias("l")), "a").join(maps.select(F.col("node").alias("b"), F.col("map").alias("m")), "b")
+    pairs = written(pairs.filter(_may("l", "m")).select("a", "b", F.lit(0).alias("part")), "near-pairs")
+    return same.union(_similar(pairs, _sets(docs, nodes, pairs, id_col, text_col)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,8 +207,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id stay, and blank texts are all alike."""
     docs = docs if ROW in docs.columns else tagged(docs)
     rows = written(sketches(docs, id_col, text_col), "near-rows")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct(ROW, "size", "bits")).alias("x"), F.any_value("keys").alias("keys"))
-    nodes = written(nodes.select("node", "first", "keys", F.col(f"x.{ROW}").alias("first_row"), "x.size", "x.bits"), "near-nodes")
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct(ROW, "size", "print", "bits")).alias("x"), F.any_value("keys").alias("keys"))
+    nodes = written(nodes.select("node", "first", "keys", F.col(f"x.{ROW}").alias("first_row"), "x.size", "x.print", "x.bits"), "near-nodes")
     roots = written(components(links(docs, nodes, id_col, text_col)), "near-roots")
     named = nodes.join(small(roots), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = written(named, "near-named")

@@ -90,3 +90,34 @@ def test_empty_and_null_ids(spark, tmp_path):
     docs = spark.read.parquet(path)
     assert near.deduplicate(docs.limit(0)).count() == 0
     assert sorted(r.doc_id or 0 for r in near.deduplicate(docs).collect()) == [0, 0, 5]
+
+
+def test_golay_words_propose(spark, tmp_path):
+    """Keys are the nearest codewords of the SimHash's segments, and propose what is similar."""
+    generator, codewords = 0b101011100011, [0]
+    for i in range(12):  # of the Golay code, by its generator
+        codewords += [c ^ generator << i for c in codewords]
+    codewords, rng = np.array(sorted(codewords)), np.random.default_rng(4)
+    for size in (4, 7, 10, 30, 300):
+        for _ in range(20):
+            union = rng.integers(0, 1 << 64, size + size // 8 + 1, np.uint64)
+            x, y = np.unique(union[:size]), np.unique(union[size // 8 + (size > 4) :])
+            bits = near.fingerprint(x)
+            if size % 2:  # no ties: just over half
+                mixed = (x[:, None] ^ near.XORS) * near.ODDS
+                mixed = (mixed ^ mixed >> np.uint64(32)) * near.MORE
+                mixed = mixed ^ mixed >> np.uint64(32)
+                assert all(bits[w * 64 + b] == ((mixed[:, w] >> np.uint64(b) & np.uint64(1)).sum() * 2 > size) for w in (0, 9) for b in range(64))
+            words = near.golay_words(bits)
+            for i in (0, 1, 41, near.SEGMENTS - 1):
+                segment = sum(int(bits[23 * i + j]) << j for j in range(23))
+                nearest = codewords[np.bitwise_count(codewords ^ segment).argmin()]
+                assert words[i] == (i << 12 | nearest >> 11)
+            if near.jaccard(x, y) >= near.LEAST:
+                other = near.fingerprint(y)
+                assert (near.golay_words(other) == words).any() and (other[:128] != bits[:128]).sum() <= near.FAR
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string").write.parquet(path)
+    got = {r.id: r for r in near.sketches(common.tagged(spark.read.parquet(path))).collect()}
+    assert got[1]["keys"] == near.golay_words(near.fingerprint(near.shingles(b"a b c d e f g h"))).tolist()
+    assert got[2]["keys"] == got[3]["keys"] == []
