@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -24,8 +25,10 @@ from leafpress.llm.common import ROW, ROW_TYPE, tagged, written
 
 WINDOW = 50
 BLOCK = 25
-#: Words hashed together by a task, words meant for one bucket of the index, and probes of a bucket held in memory.
+#: Words whose probes a task packs together, words meant for one bucket of the index, and probes of a bucket held in memory.
 CHUNK, BUCKET_WORDS, HELD = 1_000_000, 1_000_000, 4_000_000
+#: Words hashed together: a piece takes some 300 bytes a word while it is hashed, and 16 a probe of it stay until they are packed.
+PIECE = 100_000
 #: Odd, so powers have inverses. Blocks are told apart by the first hash, contexts and windows by both (128 bits).
 MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 NO_ID = (1 << 63) - 1
@@ -80,18 +83,37 @@ class Hashed:
         return np.arange(len(owner)) - first + self.begin[owner], owner
 
 
-def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK words (six bytes each)."""
+def groups(texts: pa.Array, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many words (six bytes each)."""
     begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= 6 * CHUNK:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
+        if size >= 6 * words:
             yield begin, i + 1
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(begin, end, texts) of groups of about PIECE words."""
+    for lo, hi in groups(texts, PIECE):
+        yield lo, hi, texts.slice(lo, hi - lo).to_pylist()
+
+
+def rolling(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, hash) of every rolling block of texts with a window, hashed a piece at a time."""
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+    for lo, _, piece in pieces(texts):
+        x = Hashed(piece, MULTIPLIERS[:1])
+        place, owner = x.starts(BLOCK)
+        keep = x.size[owner] >= WINDOW
+        place, owner = place[keep], owner[keep]
+        found.append(((lo + owner).astype(np.int32), (place - x.begin[owner]).astype(np.int32), x.ranges(place, place + BLOCK)[0]))
+    owner, at, h = (np.concatenate(column) for column in zip(*found, strict=True))
+    return owner, at, h
+
+
 def planes(a: np.ndarray) -> bytes:
     """The numbers' first bytes, then their second ones and so on: high bytes are mostly zero, so that shuffles compress them."""
     return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
@@ -136,19 +158,14 @@ def probes(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows, ids = b.column("text").to_pylist(), rows_of(b.column("row")), b.column("id").to_numpy()
-            for lo, hi in groups(texts):
-                x = Hashed(texts[lo:hi], MULTIPLIERS[:1])
-                place, owner = x.starts(BLOCK)
-                keep = x.size[owner] >= WINDOW
-                place, owner = place[keep], owner[keep]
-                if not len(place):
+            texts, rows, ids = b.column("text"), rows_of(b.column("row")), b.column("id").to_numpy()
+            for lo, hi in groups(texts, CHUNK):
+                owner, at, h = rolling(texts.slice(lo, hi - lo))
+                if not len(at):
                     continue
-                h = x.ranges(place, place + BLOCK)[0]
                 bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32) if buckets <= 1 << 16 else (h >> np.uint64(16)).astype(np.int64) % buckets
                 order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-                bucket, place, owner, h = bucket[order], place[order], owner[order], h[order]
-                at = place - x.begin[owner]
+                bucket, owner, at, h = bucket[order], owner[order], at[order], h[order]
                 cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
                 out = [pack(rows[lo + owner[s]], ids[lo + owner[s]], at[s], h[s]) for s in map(slice, cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "probes"])
@@ -230,9 +247,9 @@ def contexts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows, ids, ats = b.column("text").to_pylist(), rows_of(b.column("row")), b.column("id").to_numpy(), b.column("ats")
-            for lo, hi in groups(texts):
-                x = Hashed(texts[lo:hi])
+            rows, ids, ats = rows_of(b.column("row")), b.column("id").to_numpy(), b.column("ats")
+            for lo, hi, piece in pieces(b.column("text")):
+                x = Hashed(piece)
                 part = ats.slice(lo, hi - lo)
                 at = part.flatten().to_numpy().astype(np.int64)
                 owner = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
@@ -250,9 +267,9 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows, ids, ats = b.column("text").to_pylist(), rows_of(b.column("row")), b.column("id").to_numpy(), b.column("ats")
-            for lo, hi in groups(texts):
-                x = Hashed(texts[lo:hi])
+            rows, ids, ats = rows_of(b.column("row")), b.column("id").to_numpy(), b.column("ats")
+            for lo, hi, piece in pieces(b.column("text")):
+                x = Hashed(piece)
                 part = ats.slice(lo, hi - lo)
                 at = part.flatten().to_numpy().astype(np.int64)
                 owner = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())

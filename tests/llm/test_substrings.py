@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafpress.llm import common, exact_dedup, mixing, substrings
@@ -73,6 +74,32 @@ def test_pack():
     assert (a == tags).all() and (b == row * 5).all() and (c == at).all() and (d == h & np.uint64((1 << 48) - 1)).all()
 
 
+def test_probes_and_windows_are_made_in_small_pieces(spark, monkeypatch):
+    """No more than about PIECE words are hashed at once, so a task's memory doesn't grow with CHUNK; the result is the same."""
+    rng, most, real = random.Random(6), [], substrings.Hashed.__init__
+    texts = [" ".join("w%d" % rng.randrange(90) for _ in range(rng.randrange(40, 400))) for _ in range(300)]
+    texts += [" ".join(t.split()[20:]) for t in texts[:100]]
+    data = list(enumerate(texts))
+
+    def counted(self, texts, *more):
+        real(self, texts, *more)
+        most.append(int(self.begin[-1]))
+
+    monkeypatch.setattr(substrings.Hashed, "__init__", counted)
+    monkeypatch.setattr(substrings, "PIECE", 1000)
+    batch = pa.RecordBatch.from_arrays([substrings.tags_of(np.zeros(400, substrings.ROW_KIND)), pa.array(range(400), pa.int64()), pa.array([t.encode() for t in texts]), pa.array([list(range(0, len(t.split()) - 49, 25)) for t in texts], pa.list_(pa.int32()))], ["row", "id", "text", "ats"])
+
+    class Plan:
+        def mapInArrow(self, run, schema):
+            return sum(b.num_rows for b in run(iter([batch])))
+
+    assert substrings.probes(Plan(), 64) and substrings.contexts(Plan()) and substrings.windows(Plan())
+    assert max(most) < 2000 < 60_000 < sum(most) / 3
+    monkeypatch.undo()
+    got = sorted((r.id, r.n_words, r.n_removed, r.kept) for r in substrings.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == brute(data)
+
+
 def test_same_result_if_later_scans_are_split_otherwise(spark, monkeypatch, tmp_path):
     """As when the cluster's core count changes between two scans."""
     data = rows(4)
