@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from leafpress.llm import common
 from leafpress.llm.common import ROW, ROW_TYPE, small, tagged, written
 from leafpress.llm.components import components
 from leafpress.llm.simhash import golay_tables
@@ -171,6 +172,18 @@ def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(small(ids), "node", "left_semi")
 
 
+def _mapped(cells: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """cells, dealt by key, with the maps (bits) of as many nodes as may be broadcast, so that pairs of these which can't be
+    similar never become rows. If there are more nodes, those have maps that meet most others; the rest's are null."""
+    n, most = nodes.count(), max(0, common.BROADCAST_ROWS)
+    if n > most:
+        scores = cells.join(F.broadcast(counts), "key").groupBy("node").agg(F.sum("n").alias("score"))  # at most SEGMENTS * 4096 counts
+        scores = written(scores, "near-meetings")
+        cut = scores.approxQuantile("score", [1 - 0.9 * most / n], 0.1 * most / n) if most else []
+        nodes = written(nodes.join(scores.filter(F.col("score") > F.lit(cut[0] if cut else None)), "node", "left_semi").select("node", "bits"), "near-met-most")
+    return cells.repartition("key").join(F.broadcast(nodes.select("node", "bits")), "node", "left")
+
+
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): links between nodes that meet and whose similarity is at least LEAST, enough to connect all that such pairs connect.
 
@@ -179,22 +192,25 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     connected, so pairs of them aren't compared. Every other pair that meets and may be similar (see _may) is.
     """
     cells = nodes.select("node", "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
-    crowds = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD), "near-crowds")
-    bosses = nodes.select("node", F.col("node").alias("boss"))
+    counts = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-counts")
+    crowds = counts.filter(F.col("n") > CROWD)
+    named = nodes.withColumn("boss", F.col("node"))
     same = nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
     if not crowds.isEmpty():
-        scores = written(cells.join(small(crowds), "key").groupBy("node").agg(F.sum("n").alias("score")), "near-scores")
-        scored = written(nodes.join(small(scores), "node").select("node", "score", "size", "print", "keys"), "near-scored")
-        crowd = scored.select("node", "score", "size", "print.p0", "print.p1", F.explode("keys").alias("key")).join(small(crowds), "key", "left_semi")
+        crowd = written(cells.join(small(crowds), "key"), "near-crowd")
+        scores = written(crowd.groupBy("node").agg(F.sum("n").alias("score")), "near-scores")
+        crowd = crowd.join(small(scores), "node")
         centres = written(crowd.groupBy("key").agg(F.max(F.struct("score", "node", "size", "p0", "p1")).alias("x")).select("key", "x.node", "x.size", "x.p0", "x.p1"), "near-centres")
         stars = crowd.alias("l").join(small(centres).alias("m"), F.col("l.key") == F.col("m.key")).filter((F.col("l.node") != F.col("m.node")) & _close("l", "m"))
         stars = written(stars.select(F.col("m.node").alias("a"), F.col("l.node").alias("b")).distinct().withColumn("part", F.pmod(F.hash("b"), F.lit(PARTS))), "near-stars")
         same = written(_similar(stars, _sets(docs, nodes, stars, id_col, text_col)), "near-links")
-        best = same.join(scored.select(F.col("node").alias("a"), "score"), "a").groupBy("b").agg(F.max(F.struct("score", "a"))["a"].alias("boss"))
+        best = same.join(scores.select(F.col("node").alias("a"), "score"), "a").groupBy("b").agg(F.max(F.struct("score", "a"))["a"].alias("boss"))
         best = small(written(best, "near-bosses"))
-        bosses = nodes.select("node").join(best, F.col("node") == F.col("b"), "left").select("node", F.coalesce("boss", "node").alias("boss"))
-    cells = written(nodes.select("node", "size", "print", "keys").join(bosses, "node"), "near-cells").select("node", "boss", "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
-    pairs = cells.alias("l").join(cells.alias("m"), F.col("l.key") == F.col("m.key")).filter(F.col("l.node") < F.col("m.node")).filter((F.col("l.boss") != F.col("m.boss")) & _close("l", "m"))
+        named = nodes.join(best, F.col("node") == F.col("b"), "left").withColumn("boss", F.coalesce("boss", "node"))
+    cells = written(named.select("node", "boss", "size", "print", "keys"), "near-cells").select("node", "boss", "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
+    cells = _mapped(cells, nodes, counts)
+    met = (F.col("l.boss") != F.col("m.boss")) & _close("l", "m") & (F.col("l.bits").isNull() | F.col("m.bits").isNull() | _may("l", "m"))
+    pairs = cells.alias("l").join(cells.alias("m"), F.col("l.key") == F.col("m.key")).filter(F.col("l.node") < F.col("m.node")).filter(met)
     pairs = written(pairs.select(F.col("l.node").alias("a"), F.col("m.node").alias("b")).distinct(), "near-met")
     maps = small(written(_of(nodes, pairs).select("node", F.struct("size", "bits").alias("map")), "near-maps"))
     pairs = pairs.join(maps.select(F.col("node").alias("a"), F.col("map").alias("l")), "a").join(maps.select(F.col("node").alias("b"), F.col("map").alias("m")), "b")
