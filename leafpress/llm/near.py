@@ -38,6 +38,8 @@ FAR = 44
 BITS, LONGS = 1024, 16
 #: Texts of a codeword beyond which they are first compared with a centre; parts that a centre's pairs are dealt to.
 CROWD, PARTS = 100, 64
+#: The most times that each node is compared with one other only, before all pairs that are left are compared.
+ROUNDS = 3
 _rng = np.random.default_rng(42)
 XORS, ODDS, MORE = (_rng.integers(0, 1 << 64, PRINT, np.uint64) for _ in range(3))
 ODDS |= np.uint64(1)
@@ -92,6 +94,17 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def shortened(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of each hash, sorted, repeats included."""
+    return np.sort(hashes.astype(np.uint16))
+
+
+def numbered(short: np.ndarray) -> np.ndarray:
+    """Short hashes made distinct by numbering those that are equal. Each hash that two sets share is at least one number
+    that they share, so the similarity of these is never below that of the hashes."""
+    return short.astype(np.uint64) << np.uint64(32) | (np.arange(len(short)) - np.searchsorted(short, short)).astype(np.uint64)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(ROW, F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
@@ -140,30 +153,67 @@ def _may(a: str, b: str) -> Column:
     return both * (1 + LEAST) + 1e-6 >= (F.col(f"{a}.size") + F.col(f"{b}.size")) * LEAST
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, part) that are at least LEAST similar. A centre's pairs lie in PARTS parts, so none is a hot key."""
-    parts = pairs.select("a", "part").distinct()
-    left = parts.join(sets, parts["a"] == sets["node"]).select("a", "part", F.col("hashes").alias("x"))
-    both = pairs.join(left, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+def _similar(pairs: DataFrame, sets: DataFrame, short: bool = False) -> DataFrame:
+    """The pairs (a, b, part; a written table) that are at least LEAST similar; if short, that may be by their short hashes, a
+    quarter of the bytes. Where pairs are few, they are broadcast to the sets, so that only a set for each pair and for each
+    (a, part) is shuffled. A centre's pairs lie in parts, so none is a hot key."""
+    column = F.col("short" if short else "hashes")
+    few = F.broadcast if pairs.count() <= common.BROADCAST_ROWS else (lambda df: df)
+    parts = pairs.select(F.col("a").alias("node"), "part").distinct()
+    left = sets.join(few(parts), "node").select(F.col("node").alias("a"), "part", column.alias("x"))
+    right = sets.join(few(pairs.withColumnRenamed("b", "node")), "node").select("a", "part", F.col("node").alias("b"), column.alias("y"))
+    both = left.join(right, ["a", "part"]).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ok = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= LEAST for x, y in zip(t.column("x"), t.column("y"), strict=True)]
+            sides = ([numbered(np.frombuffer(v.as_py(), np.uint16)) if short else np.frombuffer(v.as_py(), np.uint64) for v in t.column(c)] for c in ("x", "y"))
+            ok = [jaccard(x, y) >= LEAST for x, y in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _connecting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): of pairs (a, b; a < b, written) that are at least LEAST similar, enough to connect all that these connect.
+
+    Pairs that may be similar by their short hashes, as few others may, are compared by the whole ones. While such pairs are
+    more than their nodes, each node is compared with one only, of those that it is paired with the one that has most
+    pairs. Pairs that this connects aren't compared any more; all that are left are.
+    """
+    pairs = written(_similar(pairs.withColumn("part", F.lit(0)), sets, short=True), "near-likely")
+    found = None
+    for _ in range(ROUNDS):
+        ends = pairs.select("a").union(pairs.select("b"))
+        degrees = written(ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")), "near-degrees")
+        if pairs.count() <= degrees.count():
+            break
+        of = lambda end: small(degrees).select(F.col("node").alias(end), F.struct("n", "node").alias(f"{end}_"))
+        ranked = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_", "b_").alias("top"), F.least("a_", "b_")["node"].alias("b"))
+        tops = ranked.groupBy("b").agg(F.max("top").alias("top"))
+        tops = written(tops.select("top.node", "b", F.pmod(F.hash("b"), F.ceil(F.col("top.n") / CROWD).cast("int")).alias("part")).withColumnRenamed("node", "a"), "near-tops")
+        links = written(_similar(tops, sets), "near-links")
+        found = links if found is None else found.union(links)
+        roots = small(written(components(found), "near-joined"))
+        root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_"))
+        apart = F.coalesce("a_", "a") != F.coalesce("b_", "b")
+        done = small(tops).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.join(done, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").filter(apart)
+        pairs = written(pairs.select("a", "b"), "near-apart")
+    rest = _similar(pairs.withColumn("part", F.lit(0)), sets)
+    return rest if found is None else found.union(rest)
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, hashes) of the nodes of pairs (a, b)."""
+    """(node, hashes, short) of the nodes of pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["node", "hashes"])
+            all_ = [shingles(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array([f(s).tobytes() for s in all_], pa.binary()) for f in (np.asarray, shortened))], ["node", "hashes", "short"])
 
     rows = written(_of(nodes, pairs).select(F.col("first_row").alias(ROW), "node"), "near-places")
     texts = _texts(docs, id_col, text_col).join(small(rows, tags=True), ROW)
-    return written(texts.select("node", "text").mapInArrow(run, "node long, hashes binary"), "near-sets")
+    return written(texts.select("node", "text").mapInArrow(run, "node long, hashes binary, short binary"), "near-sets")
 
 
 def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -172,16 +222,32 @@ def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(small(ids), "node", "left_semi")
 
 
+def _meetings(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """nodes (node, keys, bits) with a score, the sum of their codewords' counts, looked up by row: cells aren't made for it."""
+    met, kind = np.zeros(SEGMENTS << 12, np.int64), nodes.schema["bits"].dataType.simpleString()
+    of = counts.toArrow()  # at most SEGMENTS * 4096
+    met[of.column("key").to_numpy()] = of.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("keys")
+            ends = np.concatenate([[0], np.cumsum(met[keys.flatten().to_numpy()])])
+            at = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("bits"), pa.array(ends[at[1:]] - ends[at[:-1]])], ["node", "bits", "score"])
+
+    return nodes.select("node", "keys", "bits").mapInArrow(run, f"node long, bits {kind}, score long")
+
+
 def _mapped(cells: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFrame:
-    """cells, dealt by key, with the maps (bits) of as many nodes as may be broadcast, so that pairs of these which can't be
+    """cells (boss: null if it is the node), dealt by key, with the maps (bits) of as many nodes as may be broadcast, so that pairs of these which can't be
     similar never become rows. If there are more nodes, those have maps that meet most others; the rest's are null."""
     n, most = nodes.count(), max(0, common.BROADCAST_ROWS)
     if n > most:
-        scores = cells.join(F.broadcast(counts), "key").groupBy("node").agg(F.sum("n").alias("score"))  # at most SEGMENTS * 4096 counts
-        scores = written(scores, "near-meetings")
+        scores = written(_meetings(nodes, counts), "near-meetings")
         cut = scores.approxQuantile("score", [1 - 0.9 * most / n], 0.1 * most / n) if most else []
-        nodes = written(nodes.join(scores.filter(F.col("score") > F.lit(cut[0] if cut else None)), "node", "left_semi").select("node", "bits"), "near-met-most")
-    return cells.repartition("key").join(F.broadcast(nodes.select("node", "bits")), "node", "left")
+        nodes = written(scores.filter(F.col("score") > F.lit(cut[0] if cut else None)).select("node", "bits"), "near-met-most")
+    cells = cells.repartition("key").withColumn("boss", F.coalesce("boss", "node"))
+    return cells.join(F.broadcast(nodes.select("node", "bits")), "node", "left")
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +255,8 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
 
     Where more than CROWD nodes share a codeword, all are first compared with a centre: the node that meets most others
     over all such codewords, as a text does whose edited copies are the group. Nodes similar to the same centre are
-    connected, so pairs of them aren't compared. Every other pair that meets and may be similar (see _may) is.
+    connected, so pairs of them aren't compared. Every other pair that meets and may be similar (see _may) is, unless its nodes
+    are already connected (see _connecting).
     """
     cells = nodes.select("node", "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
     counts = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-counts")
@@ -207,15 +274,15 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
         best = same.join(scores.select(F.col("node").alias("a"), "score"), "a").groupBy("b").agg(F.max(F.struct("score", "a"))["a"].alias("boss"))
         best = small(written(best, "near-bosses"))
         named = nodes.join(best, F.col("node") == F.col("b"), "left").withColumn("boss", F.coalesce("boss", "node"))
-    cells = written(named.select("node", "boss", "size", "print", "keys"), "near-cells").select("node", "boss", "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
+    cells = written(named.select("node", "boss", "size", "print", "keys"), "near-cells").select("node", F.nullif("boss", "node").alias("boss"), "size", "print.p0", "print.p1", F.explode("keys").alias("key"))
     cells = _mapped(cells, nodes, counts)
     met = (F.col("l.boss") != F.col("m.boss")) & _close("l", "m") & (F.col("l.bits").isNull() | F.col("m.bits").isNull() | _may("l", "m"))
     pairs = cells.alias("l").join(cells.alias("m"), F.col("l.key") == F.col("m.key")).filter(F.col("l.node") < F.col("m.node")).filter(met)
     pairs = written(pairs.select(F.col("l.node").alias("a"), F.col("m.node").alias("b")).distinct(), "near-met")
     maps = small(written(_of(nodes, pairs).select("node", F.struct("size", "bits").alias("map")), "near-maps"))
     pairs = pairs.join(maps.select(F.col("node").alias("a"), F.col("map").alias("l")), "a").join(maps.select(F.col("node").alias("b"), F.col("map").alias("m")), "b")
-    pairs = written(pairs.filter(_may("l", "m")).select("a", "b", F.lit(0).alias("part")), "near-pairs")
-    return same.union(_similar(pairs, _sets(docs, nodes, pairs, id_col, text_col)))
+    pairs = written(pairs.filter(_may("l", "m")).select("a", "b"), "near-pairs")
+    return same.union(_connecting(pairs, _sets(docs, nodes, pairs, id_col, text_col)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,13 +290,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id stay, and blank texts are all alike."""
     docs = docs if ROW in docs.columns else tagged(docs)
     rows = written(sketches(docs, id_col, text_col), "near-rows")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct(ROW, "size", "print", "bits")).alias("x"), F.any_value("keys").alias("keys"))
-    nodes = written(nodes.select("node", "first", "keys", F.col(f"x.{ROW}").alias("first_row"), "x.size", "x.print", "x.bits"), "near-nodes")
+    nodes = rows.groupBy(F.col("node").alias("hash")).agg(F.min("id").alias("first"), F.min(F.struct(ROW, "size", "print", "bits")).alias("x"), F.any_value("keys").alias("keys"))
+    # nodes are numbered: numbers take less room than hashes in each of a node's cells
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "hash", "first", "keys", F.col(f"x.{ROW}").alias("first_row"), "x.size", "x.print", "x.bits"), "near-nodes")
     roots = written(components(links(docs, nodes, id_col, text_col)), "near-roots")
-    named = nodes.join(small(roots), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(small(roots), "node", "left").select("hash", "first", F.coalesce("root", "node").alias("root"))
     named = written(named, "near-named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    whole = written(named.join(least, "root").select("node", "component_id"), "near-classes")
+    whole = written(named.join(least, "root").select(F.col("hash").alias("node"), "component_id"), "near-classes")
     out = rows.select("id", "node").join(small(whole), "node")
     gone = written(out.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct(), "near-gone")
     return docs.join(small(gone, tags=True), F.col(id_col).cast("long") == F.col("__gone"), "left_anti").drop(ROW)

@@ -109,6 +109,49 @@ def test_pairs_below_the_limit_do_not_become_rows(spark, tmp_path, monkeypatch,
     assert ("near-met-most" in made) == (rows == 120) and 90 <= made.get("near-met-most", 120) <= 120
 
 
+def test_short_hashes_never_hide_similar_texts():
+    rng = np.random.default_rng(6)
+    for size, bits in ((4, 64), (300, 64), (5000, 64), (300, 18), (3000, 40)):  # few bits: many equal short hashes
+        for drop in (0, 1, size // 12, size // 9, size // 5):
+            x = rng.integers(0, 1 << 62, size, np.uint64) << np.uint64(64 - bits)
+            y = np.unique(np.concatenate([x[drop:], rng.integers(0, 1 << 62, drop + 1, np.uint64)]))
+            x = np.unique(x)
+            likely = near.jaccard(*(np.unique(near.numbered(near.shortened(v))) for v in (x, y)))
+            assert all(len(np.unique(near.numbered(near.shortened(v)))) == len(v) for v in (x, y))
+            assert near.jaccard(x, y) <= likely <= (1 if bits < 64 else near.jaccard(x, y) + 0.15)
+
+
+@pytest.mark.parametrize("rows", [200_000, 100, -1])
+def test_groups_cost_their_number(spark, tmp_path, monkeypatch, rows):
+    """Texts of a group that are similar to each other are compared about once each, not by pairs, and how many a text meets
+    is counted without a row for each of its cells."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    rng, compared, plans, real, write = random.Random(9), [], {}, near._similar, near.written
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(2):
+        base = " ".join(rng.choices(words, k=300))
+        texts += [changed(rng, base, 0.01) for _ in range(60)]
+    texts += [" ".join(rng.choices(words, k=200)) for _ in range(40)]
+
+    def similar(pairs, sets, short=False):
+        compared.append(0 if short else pairs.count())
+        return real(pairs, sets, short) if short else real(pairs, sets)
+
+    def planned(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(near, "_similar", similar)
+    monkeypatch.setattr(near, "written", planned)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = sorted(r.doc_id for r in near.deduplicate(spark.read.parquet(path)).collect())
+    assert got == plain_kept(list(enumerate(texts))) and len(got) == 42
+    assert 118 <= sum(compared) <= 240
+    assert ("near-meetings" in plans) == (rows < 160) and not any(x in plans.get("near-meetings", "") for x in ("Join", "Generate"))
+
+
 def test_empty_and_null_ids(spark, tmp_path):
     path = str(tmp_path / "docs")
     spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (6, "a b c d")], "doc_id long, text string").write.parquet(path)
